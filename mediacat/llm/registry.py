@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from .shared import table
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(turns.unionByName(own)))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import language
 
@@ -33,10 +42,21 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    pages = table(spark, sf_dir, "pages")
+    archives = warc.write_archives(pages)
+    index = warc.write_index(archives)
+    return warc.lookup(index, archives, warc.keys_of(pages)).drop("url")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_chat": op3_chat,
     "op4_language": op4_language,
     "op6_license": op6_license,
     "op7_packing": op7_packing,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {}
