@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .shared import table
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -52,6 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_chat": op3_chat,
     "op4_language": op4_language,
     "op6_license": op6_license,
