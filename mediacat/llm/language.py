@@ -16,6 +16,8 @@ from .shared import string_slices
 BUCKETS = 4096
 #: At most about so many labelled documents of each language are fitted on; a bound on the driver's memory.
 SAMPLE = 600
+#: Loss by which the second codeword must be further than the first.
+AMBIGUOUS = 0.1
 
 _LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -137,12 +139,11 @@ def fit(docs: DataFrame, train, sample: int = SAMPLE, buckets: int = BUCKETS) ->
     return OutputCodes(x, [r["lang"] for r in got])
 
 
-def predict(docs: DataFrame, model: OutputCodes | None, ambiguous_below: float = 0.1, keep: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: OutputCodes | None, ambiguous_below: float = AMBIGUOUS) -> DataFrame:
     """Adds lang_pred, score (0 to 1) and ambiguous to (doc_id), from whole texts and nothing else.
 
     Text that is null or has no letter, or any text when nothing was learnt, is ``und`` with score 0. ``ambiguous`` marks
-    texts whose second codeword is nearly as near as the first. With ``keep`` the text stays as a column.
-    Columns other than doc_id and text are not read; rows that repeat are predicted alike.
+    texts whose second codeword is nearly as near as the first. Columns other than doc_id and text are not read; rows that repeat are predicted alike.
     """
     names = model.names if model else []
 
@@ -164,3 +165,25 @@ def predict(docs: DataFrame, model: OutputCodes | None, ambiguous_below: float =
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def recognised(docs: DataFrame, model: OutputCodes | None, unclear_below: float = 0.35) -> DataFrame:
+    """``docs``, all columns, whose whole text is in a learnt language; one scan, no shuffle.
+
+    Left out: text that is null or has no letter, and ambiguous text (see :func:`predict`) whose score is under
+    ``unclear_below``, that is nearly as far from every codeword. With nothing learnt no row is recognised.
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                texts = part.column(at)
+                keep = np.array([bool(model and t and _LETTER.search(t)) for t in texts.to_pylist()])
+                if model:
+                    _, score, gap = model.decode(features(texts))
+                    keep &= (gap >= AMBIGUOUS) | (score >= unclear_below)
+                yield part.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

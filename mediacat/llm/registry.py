@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from .shared import table
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import neardup
 
@@ -48,6 +54,18 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its number of lines and the numbers of those that go."""
+    from . import lines
+
+    docs = table(spark, sf_dir, "documents")
+    gone = lines.duplicate_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
+    sizes = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    return sizes.join(gone, "doc_id", "left").select(
+        "doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines")
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import warc
 
@@ -58,11 +76,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_chat": op3_chat,
     "op4_language": op4_language,
     "op6_license": op6_license,
     "op7_packing": op7_packing,
+    "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
 

@@ -104,10 +104,16 @@ _SPACE[[32, *range(9, 14)]] = True
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` of each text, A-Z as a-z, and the texts' word offsets."""
+    hashes, places, _ = hashed_words(data, offsets, _SPACE)
+    return hashes, places
+
+
+def hashed_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words (runs of bytes outside the mask ``between``), the texts' word offsets, the words' bytes."""
     n_docs = len(offsets) - 1
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64)
-    word = ~_SPACE[data]
+        return np.zeros(0, np.uint64), np.zeros(n_docs + 1, np.int64), np.zeros(0, np.int64)
+    word = ~between[data]
     before = np.empty_like(word)
     before[0], before[1:] = False, word[:-1]
     inner = offsets[:-1][offsets[:-1] < len(data)]
@@ -122,7 +128,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     total[0] = 0
     np.cumsum(_BYTE_LOWER[data] * power[: len(data)], out=total[1:])
     hashes = mix64((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets)
+    return hashes, np.searchsorted(starts, offsets), ends - starts
 
 
 _ROLES = _random.integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
