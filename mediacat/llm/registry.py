@@ -40,6 +40,13 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).withColumn("held_out", held_out)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import license
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_chat": op3_chat,
     "op4_language": op4_language,
+    "op5_quality": op5_quality,
     "op6_license": op6_license,
     "op7_packing": op7_packing,
     "op9_line_dedup": op9_line_dedup,
