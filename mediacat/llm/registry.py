@@ -61,6 +61,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of ``embeddings``, shown as gray images, are the media column."""
+    from . import media
+
+    return media.copies(media.rendered(table(spark, sf_dir, "embeddings"))).withColumnRenamed("image_id", "vec_id")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document its number of lines and the numbers of those that go."""
     from . import lines
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_license": op6_license,
     "op7_packing": op7_packing,
+    "op8_media_copies": op8_media_copies,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
 }
