@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kinds, text
+from ..functions import imaging, kinds, text
 from ..operators import folders, mutate, people, scan, sequences
 from ..sources.catalog import EXCLUDED, INCLUDED, NOMEDIA, PINNED, ROOT, Catalog
 from ..sources.catalog_sql import sql as with_tables
@@ -301,6 +301,31 @@ query(
 )
 query("V3_sub_centroids")(lambda c: people.sub_centroids(c.assignments.join(c.faces, c.faces["id"] == c.assignments["face_id"]).select("person_id", F.col("id").alias("ord"), "embedding")).select("person_id", "cluster", "n"))
 
+# ---------------------------------------------------------------- images
+
+query(
+    "M5_crop_spans",
+    "SELECT id, a AS start, b AS \"end\" FROM (SELECT id, least(greatest(trunc(bbox_left - (bbox_right - bbox_left) * 0.3e0)::int, 0), 500) AS a, least(trunc(bbox_right + (bbox_right - bbox_left) * 0.3e0)::int, 500) AS b, bbox_right - bbox_left AS n FROM faces) WHERE n > 0 AND b > a",
+)(lambda c: c.faces.withColumn("s", imaging.crop_span("bbox_left", "bbox_right", 500, 0.3)).where("s is not null").select("id", "s.start", "s.end"))
+query("M7_sample_factors", "SELECT id, CASE WHEN w <= 0 OR h <= 0 THEN NULL ELSE (SELECT min(s) FROM (VALUES (1), (2), (4), (8), (16), (32)) t(s) WHERE w // s <= 1024 AND h // s <= 1024) END AS factor FROM (SELECT id, size % 9001 AS w, size % 5003 AS h FROM media)")(
+    lambda c: c.media.select("id", (F.col("size") % 9001).alias("w"), (F.col("size") % 5003).alias("h")).select("id", imaging.sample_factor("w", "h", 1024).alias("factor"))
+)
+query("DT2_capture_text", "SELECT id, (ms // 1000) * 1000 AS taken FROM media0")(
+    lambda c: c.media.select("id", F.date_format(F.timestamp_millis(F.col("last_modified") - (F.col("id") % 3600) * 1000), "yyyy:MM:dd HH:mm:ss").alias("t")).select("id", imaging.capture_ms("t").alias("taken"))
+)
+query("G1_places", "SELECT path, NOT (lat = 0 AND lon = 0) AS has_geo FROM (SELECT path, CASE WHEN has_geo THEN lat ELSE 0 END AS lat, CASE WHEN has_geo THEN lon ELSE 0 END AS lon FROM geo)")(
+    lambda c: c.geo.select("path", F.when(F.col("has_geo"), F.col("lat")).otherwise(0.0).alias("lat"), F.when(F.col("has_geo"), F.col("lon")).otherwise(0.0).alias("lon")).select("path", imaging.is_place("lat", "lon").alias("has_geo"))
+)
+query("H1_content_hash", "SELECT page_id, sha256(html) AS digest FROM pages")(lambda c: c.read("pages").select("page_id", F.sha2("html", 256).alias("digest")))
+query(
+    "A17_sharpness",
+    """WITH g AS (SELECT vec_id AS id, [floor((x::double + 1) * 100)::int for x in embedding] AS g FROM embeddings),
+    l AS (SELECT id, unnest(flatten([[g[8*y+x] + g[8*y+x+2] + g[8*(y-1)+x+1] + g[8*(y+1)+x+1] - 4*g[8*y+x+1] for x in range(1, 7)] for y in range(1, 7)])) AS e FROM g)
+    SELECT id, round(avg(e::double * e) - avg(e::double) * avg(e::double), 4) AS sharpness FROM l GROUP BY 1""",
+)(
+    lambda c: imaging.sharpness(c.read("embeddings").select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 100).cast("int")).alias("gray"))).select("id", F.round("sharpness", 4).alias("sharpness"))
+)
+
 # ---------------------------------------------------------------- changes
 
 query("D1_upsert", "SELECT full_path, CASE WHEN id % 7 = 0 THEN 1 ELSE 0 END::bigint AS size FROM media")(

@@ -146,3 +146,20 @@ def test_imports_and_exports(spark, tmp_path):
     assert [r.value for r in sinks.index_html(m, 1).collect()] == ['<li><a href="/api/file?id=2">z.mp4</a></li>'] and "x&amp;&lt;y" in sinks.index_html(m).collect()[1].value
     new = m.where("id = 2").withColumn("id", F.lit(9).cast("long"))
     assert {r.full_path for r in sinks.appended(m, new).collect()} == {"/a/x&<y.jpg", "/a/z.mp4", "/a/z_9.mp4"}
+
+
+def test_capture_times(spark):
+    from mediacat.functions import imaging
+
+    rows = ["2015-07-26T14:55:23", "2018:09:05 15:09:05", "2018:09:05 24:00:01", "2018:13:05 01:00:00", "rubbish", "", None]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    assert [r[0] for r in df.select(imaging.capture_ms("t")).collect()] == [1437922523000, 1536160145000, 1536105601000, None, None, None, None]
+
+
+def test_sample_factor_and_sharpness(spark):
+    from mediacat.functions import imaging
+
+    df = spark.createDataFrame([(100, 100), (2049, 10), (2050, 10), (0, 5), (4100, 9000)], "w int, h int")
+    assert [r[0] for r in df.select(imaging.sample_factor("w", "h", 1024)).collect()] == [1, 2, 4 if 2050 // 2 > 1024 else 2, None, 16 if 9000 // 8 > 1024 else 8]
+    images = spark.createDataFrame([(1, 3, [0, 0, 0, 0, 9, 0, 0, 0, 0]), (2, 2, [1, 2, 3, 4]), (3, None, None), (4, 4, [0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0])], "id long, width int, gray array<int>")
+    assert {r.id: r.sharpness for r in imaging.sharpness(images).collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 6.25}
