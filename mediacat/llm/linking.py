@@ -2,69 +2,140 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, written
 
-#: Members of a bucket from which a pair must meet in a second bucket too.
-HOT = 64
+#: Keys of each item that the first round looks at.
+LEAD = 10
 
 
-def linked_classes(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], name: str, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+def linked_classes(
+    items: DataFrame,
+    near: Callable[[str, str], Column],
+    verify: Callable[[DataFrame], DataFrame],
+    name: str,
+    lead: int = LEAD,
+    refine: Callable[[DataFrame], DataFrame] | None = None,
+    nearer: Callable[[str, str], Column] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Classes of the ids that verified links join, and those links that were needed to find them.
 
-    ``buckets`` has rows (key, id), keys and ids long; two items are candidates if a bucket holds both. Repeated rows
-    change nothing. ``verify`` takes distinct pairs (a, b), a < b, and returns the linked ones.
+    ``items`` has a row for each item (id long, keys array<long>, and what ``near`` reads), ids distinct; it is read several
+    times, so it had better come from a written table. Two items are
+    candidates if they share a key and ``near(a, b)`` holds, a condition on the columns prefixed a and b that no link fails.
+    ``verify`` takes distinct candidates (a, b), a < b, and returns the linked ones.
 
-    1. In each bucket every member is paired with the smallest one (and its successor in a mixed order, lest the smallest
-       be an outlier): as many pairs as members.
-    2. Verified pairs make components. Only buckets whose members still are of several components are looked at again, and
-       only pairs across components: a bucket that one group of near copies fills has none left. All such pairs of the
-       bucket are verified, so no link between two components is lost. In a bucket with more than ``hot`` members off its
-       largest component the pairs must also meet in a second bucket, found by sub-buckets keyed by both.
-    3. The components of all verified links are the classes.
+    1. By the first ``lead`` keys, each item of a bucket is paired with the bucket's smallest and largest one: two pairs
+       an item and key.
+    2. By all keys, buckets whose items are of one component are closed: nothing in them can add to the classes. In the
+       others the smallest item of each component is paired with the bucket's smallest.
+    3. In the buckets that still are open, all candidates across components are verified, each from the first bucket that
+       it shares. So every pair of candidates has been verified or lies in one component, and no link between components is
+       lost; most of a large group of near copies, whose buckets were closed before, does not get here. For the items that
+       do, ``refine`` may give finer columns (by id) on which ``nearer`` is a sharper condition of the same kind.
 
-    Hot keys: the counts are combined before the shuffle, and the joins back are plain equi-joins that adaptive execution
-    may split. Returns (id, component) of the linked ids, and the links (a, b).
+    Minima are combined before each shuffle. Rows are thinned out by a filter on the keys that matter before they are joined
+    back, by plain equi-joins that adaptive execution may split.
+    Returns (id, component) of the linked ids, and the links (a, b).
     """
-    spark = buckets.sparkSession
-    lows = buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high")
-    lows = written(lows, f"{name}-buckets")
-    twos = lows.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    members = written(buckets.join(lows.where("n > 2").select("key", "low", "high"), "key"), f"{name}-members")
-    stars = members.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b"))
-    ends = members.where("id <> high").select(F.col("id").alias("a"), F.col("high").alias("b"))
-    tried = written(twos.unionByName(stars).unionByName(ends).distinct(), f"{name}-tried")
-    links = written(verify(tried), f"{name}-links")
-    if members.isEmpty():
-        return components(links, name), links
-
-    classes = components(links, f"{name}-first")
-    placed = members.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_keys = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.max("n").alias("most")).where("parts > 1")
-    open_keys = written(open_keys.select("key", (F.col("n") - F.col("most") > hot).alias("crowded")), f"{name}-open")
-    left = written(placed.join(open_keys, "key"), f"{name}-left")
+    info = items.drop("keys")
+
+    def prefixed(rows: DataFrame, x: str, *plain: str) -> DataFrame:
+        return rows.select(*plain, *[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in rows.columns if c not in plain])
+
+    def candidates(pairs: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+        if len(info.columns) > 1:
+            pairs = pairs.join(prefixed(info, "a"), "a").join(prefixed(info, "b"), "b").where(near("a_", "b_")).select("a", "b")
+        return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+
+    # 1
+    buckets = items.select("id", F.explode(F.slice("keys", 1, lead)).alias("key"))
+    ends = written(buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high"), f"{name}-keys-1")
+    members = thinned(buckets, ends.select("key"), "key").join(ends, "key")
+    pairs = members.select("low", "id", "high").distinct()
+    pairs = pairs.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
+    pairs = pairs.select("p.*").where("a < b").distinct()
+    tried = written(candidates(pairs), f"{name}-pairs-1")
+    links = written(verify(tried), f"{name}-links-1")
+    classes = written(components(links, f"{name}-1"), f"{name}-classes-1")
+
+    # 2
+    part = F.coalesce("component", "id").alias("component")
+    buckets = items.select("id", "keys").join(classes, "id", "left").select("id", part, F.explode("keys").alias("key"))
+    ends = buckets.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
+    ends = written(ends, f"{name}-keys-2")
+    left = written(thinned(buckets, ends, "key").join(ends, "key"), f"{name}-open")
     if left.isEmpty():
         return classes, links
+    heads = left.groupBy("key", "component").agg(F.min("id").alias("id"))
+    low = heads.groupBy("key").agg(F.min("id").alias("low"))
+    pairs = heads.join(low, "key").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    more = written(candidates(pairs, tried), f"{name}-pairs-2")
+    found = written(verify(more), f"{name}-links-2")
+    tried = tried.unionByName(more)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        classes = written(components(links, f"{name}-2"), f"{name}-classes-2")
+        left = left.drop("component").join(classes, "id", "left").select("key", "id", part)
+        ends = left.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
+        left = left.join(ends, "key")
 
-    def across(rows: DataFrame) -> DataFrame:
-        a = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-        b = rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-        return a.join(b, "key").where("a < b and ca <> cb").select("a", "b")
-
-    pairs = across(left.where("not crowded"))
-    crowded = left.where("crowded").select("key", "id", "component")
-    if not crowded.isEmpty():
-        again = buckets.join(crowded.select("id").distinct(), "id").select("id", F.col("key").alias("second"))
-        sub = crowded.join(again, "id").where("key < second").select(F.xxhash64("key", "second").alias("key"), "id", "component")
-        several = sub.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-        pairs = pairs.unionByName(across(written(sub.join(several, "key"), f"{name}-sub")))
-    more = written(verify(pairs.distinct().join(tried, ["a", "b"], "left_anti")), f"{name}-more")
-    if more.isEmpty():
+    # 3
+    left = written(left, f"{name}-left")
+    ids = left.select("id").distinct()
+    own = items.join(ids, "id")
+    condition = near("a_", "b_")
+    if refine:
+        own = own.join(refine(ids), "id")
+        condition = condition & nearer("a_", "b_")
+    left = left.join(own, "id")
+    first = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
+    pairs = prefixed(left, "a", "key").join(prefixed(left, "b", "key"), "key").where(F.expr("a < b and a_component <> b_component") & condition & first)
+    more = written(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"{name}-pairs-3")
+    found = written(verify(more), f"{name}-links-3")
+    if found.isEmpty():
         return classes, links
-    links = links.unionByName(more)
-    return components(links, f"{name}-second"), links
+    links = links.unionByName(found)
+    return components(links, f"{name}-3"), links
+
+
+#: Bits, as a power of two, of the largest filter by which rows are thinned out before they are shuffled: 8 MB.
+FILTER_BITS = 26
+
+
+def thinned(rows: DataFrame, ids: DataFrame, key: str, then: Callable | None = None, schema: str | None = None) -> DataFrame:
+    """The ``rows`` whose ``key`` may be among ``ids`` (one column): all that are, and few others.
+
+    ``then`` maps the batches that are left to batches of ``schema`` in the same Python worker.
+
+    A one-hash Bloom filter of 64 bits an id up to a fixed size, so it may be broadcast; beyond that, as ids fill it, more of
+    the rows that a join drops pass through.
+    """
+    spark = rows.sparkSession
+    spot = F.xxhash64(ids.columns[0]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = ids.select(spot.alias("spot")).groupBy(F.shiftright("spot", 6).alias("w"))
+    got = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits")).toArrow()
+    size = min(1 << (FILTER_BITS - 6), 1 << max(6, got.num_rows.bit_length()))
+    bits = np.zeros(size, np.int64)
+    np.bitwise_or.at(bits, got.column("w").to_numpy() & (size - 1), got.column("bits").to_numpy())
+    shared = spark.sparkContext.broadcast(bits.view(np.uint64))
+    names = rows.columns
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            spot = batch.column(len(names)).to_numpy(zero_copy_only=False).astype(np.uint64)
+            keep = bits[spot >> np.uint64(6) & np.uint64(len(bits) - 1)] >> (spot & np.uint64(63)) & np.uint64(1)
+            yield batch.select(names).filter(pa.array(keep.astype(bool)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from then(left(batches)) if then else left(batches)
+
+    marked = rows.withColumn("_spot", F.xxhash64(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)))
+    return marked.mapInArrow(run, schema or rows.schema)

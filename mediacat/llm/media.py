@@ -193,7 +193,7 @@ def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
     full = base.where("d1 is not null and image_id is not null")
     groups = written(full.groupBy("d1", "d2").agg(F.min("image_id").alias("low")), "images")
     low = groups.select(F.col("low").alias("image_id")).distinct()
-    own = full.join(low, "image_id", "left_semi")
+    own = full.dropDuplicates(["image_id"]).join(low, "image_id", "left_semi")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("image_id")).union(pairs.select("b")).distinct()
@@ -213,7 +213,7 @@ def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
 
         return pairs.select("a", "b", "wa", "ba", "wb", "bb").mapInArrow(run, "a long, b long")
 
-    items = own.select(F.col("image_id").alias("id"), "keys")
+    items = written(own.select(F.col("image_id").alias("id"), "keys"), "items")
     classes, _ = linked_classes(items, lambda a, b: F.lit(True), verify, "media")
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")

@@ -10,14 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import linked_classes
+from .linking import linked_classes, thinned
 from .shared import mix64, shingles, string_slices, word_hashes, written
 
 #: 40 bands of 6 values; 120 permutations give 240 values. A pair at a similarity of 0.8 is missed once in 190,000.
 BANDS, ROWS = 40, 6
 
+#: Permutations of a fine sketch, which has one bit of the minimum and one of the maximum under each.
+FINE = 512
+
 _random = np.random.default_rng(7)
-_PERMUTED = _random.integers(0, 1 << 31, (2, BANDS * ROWS // 2), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_PERMUTED = _random.integers(0, 1 << 31, (2, BANDS * ROWS // 2 + FINE), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -28,40 +31,65 @@ def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarra
         yield first, [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Band keys (one row a set, BANDS columns) of non-empty sets.
-
-    Each permutation of the hashes is evaluated once and gives two values, its minimum and its maximum. These go to bands
-    that lie half the bands apart, so a band has at most one value of a permutation.
-    """
+def _extremes(sets: list[np.ndarray], first: int, many: int) -> np.ndarray:
+    """The minima, then the maxima, of each non-empty set under ``many`` permutations; each is evaluated once."""
     joined = np.concatenate(sets)
     low = (joined >> np.uint64(32)).astype(np.uint32) ^ joined.astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    values = np.empty((len(sets), BANDS * ROWS), np.uint64)
-    half = BANDS * ROWS // 2
+    values = np.empty((len(sets), 2 * many), np.uint64)
     step = np.empty_like(low)
-    for i in range(half):
-        np.bitwise_xor(low, _PERMUTED[0, i], out=step)
-        np.multiply(step, _PERMUTED[1, i], out=step)
+    for i in range(many):
+        np.bitwise_xor(low, _PERMUTED[0, first + i], out=step)
+        np.multiply(step, _PERMUTED[1, first + i], out=step)
         values[:, i] = np.minimum.reduceat(step, starts)
-        values[:, half + i] = np.maximum.reduceat(step, starts)
+        values[:, many + i] = np.maximum.reduceat(step, starts)
+    return values
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """One bit of each value, 64 to a word."""
+    bits = (mix64(values) & np.uint64(1)).reshape(len(values), -1, 64)
+    return (bits << np.arange(64, dtype=np.uint64)).sum(2, dtype=np.uint64)
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (one row a set, BANDS columns) and sketches (two columns) of non-empty sets.
+
+    Each permutation of the hashes is evaluated once and gives two values, its minimum and its maximum. These go to bands
+    that lie half the bands apart, so a band has at most one value of a permutation. A sketch has one bit of each of 128
+    values.
+    """
+    values = _extremes(sets, 0, BANDS * ROWS // 2)
+    sketch = _bits(values[:, :128])
     keys = np.zeros((len(sets), BANDS), np.uint64)
     for j in range(ROWS):
         keys = mix64(keys ^ values[:, j::ROWS]) + np.uint64(j)
-    return mix64(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix64(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), sketch
+
 
+def least_bits(bits: int, percent: int) -> int:
+    """In so many of a sketch's bits at least two linked sets agree, but for a chance of some 3 in 10 million.
 
-SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
+    Their agreement is binomial with a mean of (1 + similarity) / 2, and this is five standard deviations less.
+    """
+    p = (1 + percent / 100) / 2
+    return int(bits * p - 5 * (bits * p * (1 - p)) ** 0.5)
+
+
+SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, s1 long, s2 long, bands array<long>"
 
 
 def signed(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n_shingles, a 128-bit digest of the shingle set, band keys); no digest nor bands for an empty set."""
+    """(doc_id, n_shingles, a 128-bit digest of the shingle set, sketch, band keys); only the first two of an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in shingle_sets(batch.column(1), k):
                 full = [s for s in sets if len(s)]
-                keys = iter(signatures(full).view(np.int64) if full else ())
+                keys, sketch = signatures(full) if full else (np.zeros((0, BANDS), np.uint64), np.zeros((0, 2), np.uint64))
+                spread = np.zeros((len(sets), 2), np.int64)
+                spread[[len(s) > 0 for s in sets]] = sketch.view(np.int64)
+                keys = iter(keys.view(np.int64))
                 digest = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64).tolist() if len(s) else [None, None] for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -69,14 +97,32 @@ def signed(docs: DataFrame, k: int) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d[0] for d in digest], pa.int64()),
                         pa.array([d[1] for d in digest], pa.int64()),
+                        pa.array(spread[:, 0].copy()),
+                        pa.array(spread[:, 1].copy()),
                         pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "bands"],
+                    names=["doc_id", "n_shingles", "d1", "d2", "s1", "s2", "bands"],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED)
 
 
+def fine_sketches(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(id, fine: the words of its fine sketch as columns f0, f1, ...) of the documents named, and of few others."""
+    words = 2 * FINE // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, sets in shingle_sets(batch.column(1), k):
+                at = [i for i, s in enumerate(sets) if len(s)]
+                if at:
+                    fine = _bits(_extremes([sets[i] for i in at], BANDS * ROWS // 2, FINE)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([first + i for i in at])), *(pa.array(fine[:, j].copy()) for j in range(words))], names=["id", *(f"f{j}" for j in range(words))])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return thinned(rows, ids, "doc_id", run, "id long, " + ", ".join(f"f{j} long" for j in range(words))).dropDuplicates(["id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
 
@@ -84,7 +130,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     hundred texts are kept in a task.
     """
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = written(docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = written(thinned(rows, ids, "doc_id").join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
     both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", "b", "tb")
 
@@ -130,8 +177,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = base.where("n_shingles > 0 and doc_id is not null")
     groups = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("low")), "groups")
     low = groups.select(F.col("low").alias("doc_id")).distinct()
-    buckets = full.join(low, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    classes, _ = linked_classes(buckets.select("key", "id"), lambda pairs: confirmed(pairs, docs, k, percent), "neardup")
+    items = full.dropDuplicates(["doc_id"]).join(low, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", F.col("bands").alias("keys"))
+    items = written(items, "items")
+
+    def near(a: str, b: str):
+        sizes = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
+        apart = F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1"))) + F.bit_count(F.col(f"{a}s2").bitwiseXOR(F.col(f"{b}s2")))
+        return sizes & (apart <= 128 - least_bits(128, percent))
+
+    def nearer(a: str, b: str):
+        apart = sum((F.bit_count(F.col(f"{a}f{j}").bitwiseXOR(F.col(f"{b}f{j}"))) for j in range(2 * FINE // 64)), F.lit(0))
+        return apart <= 2 * FINE - least_bits(2 * FINE, percent)
+
+    classes, _ = linked_classes(
+        items, near, lambda pairs: confirmed(pairs, docs, k, percent), "neardup", refine=lambda ids: fine_sketches(docs, ids, k), nearer=nearer
+    )
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -23,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where a session names none (tests on one machine) a temporary folder is set.
     """
+    _short_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="mediacat-")
@@ -30,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of whole texts that a Python worker gets at a time; 10,000 (the default) would be tens of MB on either side.
+BATCH_ROWS = 2000
+
+
+def _short_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) == 10_000:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/mediacat-{name}-{uuid.uuid4().hex}"
 
@@ -45,7 +57,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 # --------------------------------------------------------------------------- Arrow batches
 
 
-def string_slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def string_slices(column: pa.Array, most_bytes: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cuts a string or binary column into runs of about ``most_bytes``: (first row, end row, bytes, offsets).
 
     A null row is empty. A longer text makes a run of its own.
@@ -65,6 +77,7 @@ def string_slices(column: pa.Array, most_bytes: int = 2 << 20) -> Iterator[tuple
         end = min(max(end, first + 1), n)
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
+    pa.default_memory_pool().release_unused()
 
 
 # --------------------------------------------------------------------------- words and shingles
@@ -158,27 +171,26 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Alternating large and small stars: each round is two hash aggregations and two joins on narrow rows, so a hub of
     millions of links is combined before it is shuffled, and the number of rounds is logarithmic. The edge list of each
-    round is written to the shared folder; the driver sees one count and one checksum a round.
+    round is written to the shared folder. Rounds end when the edges are stars, of which the driver learns yes or no.
     """
     cur = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), f"{name}-0"
     )
 
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+    def stars(df: DataFrame) -> bool:
+        ends = df.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(df.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
 
-    seen, rounds = state(cur), 0
-    while seen[0]:
+    rounds = 0
+    while not stars(cur):
+        rounds += 1
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", F.col("m").alias("v")).unionByName(small.select(F.col("v").alias("u"), F.col("m").alias("v")))
-        cur = written(small.where("u <> v").distinct(), f"{name}-{rounds + 1}")
-        now, rounds = state(cur), rounds + 1
-        if now == seen:
-            break
-        seen = now
-    stars = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return stars.unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        cur = written(small.where("u <> v").distinct(), f"{name}-{rounds}")
+    found = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return found.unionByName(cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from mediacat.llm import linking, neardup, registry, shared
 
@@ -57,23 +58,30 @@ def test_large_groups_equal_brute_force(spark):
     assert got(neardup.near_duplicates(df, 4)) == expected(rows, 4, 80)
 
 
-def test_hot_buckets_need_a_second_bucket(spark):
-    """Ids below 100 are linked in one bucket of thousands, others are not; the hot path finds the links that cross."""
+def test_links_across_rounds(spark):
+    """Links that only later keys show, in a bucket of all ids, are found without trying all pairs."""
     rng = random.Random(4)
     ids = list(range(400))
-    buckets = [(1, i) for i in ids] + [(2, i) for i in ids if i % 2] + [(3, i) for i in ids if i < 100] + [(1000 + rng.randrange(300), i) for i in ids]
-    links = {(i, i + 1) for i in range(99)} | {(201, 203)}
-    df = spark.createDataFrame(buckets, "key long, id long")
+    keys = {i: [7, *([3] if i < 100 else [rng.randrange(10**9)]), *([5] if i in (50, 201, 203, 350) else []), rng.randrange(10**9)] for i in ids}
+    links = {(i, i + 1) for i in range(99)} | {(201, 203), (50, 350)} | {(0, i) for i in range(60)}
+    items = spark.createDataFrame([(i, k, i % 2) for i, k in keys.items()], "id long, keys array<long>, odd int")
     good = spark.createDataFrame(sorted(links), "a long, b long")
     tried = []
 
     def verify(pairs):
-        tried.append(pairs.count())
+        tried.extend(pairs.collect())
         return pairs.join(good, ["a", "b"], "left_semi")
 
-    made, _ = linking.linked_classes(df, verify, "t", hot=20)
+    near = lambda a, b: F.abs(F.col(f"{a}odd") - F.col(f"{b}odd")) <= 1
+    made, _ = linking.linked_classes(items, near, verify, "t", lead=1)
     assert {r.id: r.component for r in made.collect()} == {i: c for i, c in classes(ids, links).items() if any(i in x for x in links)}
-    assert sum(tried) < 400 * 399 // 2
+    assert len(tried) == len(set(tried)) < 400 * 399 // 2
+
+
+def test_filter_keeps_what_is_asked_for(spark):
+    rows = spark.range(1000).selectExpr("id", "cast(id as string) text")
+    got = {r.id for r in linking.thinned(rows, spark.range(990, 1010), "id").collect()}
+    assert set(range(990, 1000)) <= got and len(got) < 100
 
 
 def test_whole_table(spark):
@@ -100,9 +108,11 @@ def test_word_and_shingle_hashes_follow_the_words():
 
 def test_bands_agree_as_often_as_the_similarity_says():
     rng = np.random.default_rng(0)
-    same = []
+    same, agree = [], []
     for _ in range(60):
         pool = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
-        bands = neardup.signatures([np.unique(pool[:900]), np.unique(pool[100:])])
+        bands, sketch = neardup.signatures([np.unique(pool[:900]), np.unique(pool[100:])])
+        agree.append(128 - sum(int(x).bit_count() for x in sketch[0] ^ sketch[1]))
         same.append((bands[0] == bands[1]).mean())
     assert abs(np.mean(same) - 0.8**neardup.ROWS) < 0.05
+    assert min(agree) >= neardup.least_bits(128, 80) and abs(np.mean(agree) - 115.2) < 2
