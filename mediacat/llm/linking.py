@@ -17,7 +17,8 @@ LEAD = 10
 
 def linked_classes(
     items: DataFrame,
-    near: Callable[[str, str], Column],
+    keys: Column,
+    near: Callable[[str, str], Column] | None,
     verify: Callable[[DataFrame], DataFrame],
     name: str,
     lead: int = LEAD,
@@ -26,9 +27,9 @@ def linked_classes(
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of the ids that verified links join, and those links that were needed to find them.
 
-    ``items`` has a row for each item (id long, keys array<long>, and what ``near`` reads), ids distinct; it is read several
-    times, so it had better come from a written table. Two items are
-    candidates if they share a key and ``near(a, b)`` holds, a condition on the columns prefixed a and b that no link fails.
+    ``items`` has a row for each item (id long, and what ``keys`` and ``near`` read), ids distinct; it is read several times,
+    so it had better come from a written table. ``keys`` is the array<long> of an item's keys. Two items are
+    candidates if they share a key and ``near(a, b)`` holds (if given), a condition on the plain columns prefixed a and b that no link fails.
     ``verify`` takes distinct candidates (a, b), a < b, and returns the linked ones.
 
     1. By the first ``lead`` keys, each item of a bucket is paired with the bucket's smallest and largest one: two pairs
@@ -44,30 +45,32 @@ def linked_classes(
     back, by plain equi-joins that adaptive execution may split.
     Returns (id, component) of the linked ids, and the links (a, b).
     """
-    info = items.drop("keys")
-
     def prefixed(rows: DataFrame, x: str, *plain: str) -> DataFrame:
         return rows.select(*plain, *[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in rows.columns if c not in plain])
 
-    def candidates(pairs: DataFrame, tried: DataFrame | None = None) -> DataFrame:
-        if len(info.columns) > 1:
-            pairs = pairs.join(prefixed(info, "a"), "a").join(prefixed(info, "b"), "b").where(near("a_", "b_")).select("a", "b")
-        return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+    def candidates(pairs: DataFrame, step: int) -> DataFrame:
+        if near is None:
+            return pairs
+        pairs = written(pairs, f"{name}-met-{step}")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        plain = items.select(*[c for c, kind in items.dtypes if not kind.startswith("array")])
+        info = written(thinned(plain, ids, "id").join(ids, "id"), f"{name}-info-{step}")
+        return pairs.join(prefixed(info, "a"), "a").join(prefixed(info, "b"), "b").where(near("a_", "b_")).select("a", "b")
 
     # 1
-    buckets = items.select("id", F.explode(F.slice("keys", 1, lead)).alias("key"))
+    buckets = items.select("id", F.explode(F.slice(keys, 1, lead)).alias("key"))
     ends = written(buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high"), f"{name}-keys-1")
     members = thinned(buckets, ends.select("key"), "key").join(ends, "key")
     pairs = members.select("low", "id", "high").distinct()
     pairs = pairs.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
     pairs = pairs.select("p.*").where("a < b").distinct()
-    tried = written(candidates(pairs), f"{name}-pairs-1")
+    tried = written(candidates(pairs, 1), f"{name}-pairs-1")
     links = written(verify(tried), f"{name}-links-1")
     classes = written(components(links, f"{name}-1"), f"{name}-classes-1")
 
     # 2
     part = F.coalesce("component", "id").alias("component")
-    buckets = items.select("id", "keys").join(classes, "id", "left").select("id", part, F.explode("keys").alias("key"))
+    buckets = items.join(classes, "id", "left").select("id", part, F.explode(keys).alias("key"))
     ends = buckets.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
     ends = written(ends, f"{name}-keys-2")
     left = written(thinned(buckets, ends, "key").join(ends, "key"), f"{name}-open")
@@ -76,7 +79,7 @@ def linked_classes(
     heads = left.groupBy("key", "component").agg(F.min("id").alias("id"))
     low = heads.groupBy("key").agg(F.min("id").alias("low"))
     pairs = heads.join(low, "key").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    more = written(candidates(pairs, tried), f"{name}-pairs-2")
+    more = written(candidates(pairs.join(tried, ["a", "b"], "left_anti"), 2), f"{name}-pairs-2")
     found = written(verify(more), f"{name}-links-2")
     tried = tried.unionByName(more)
     if not found.isEmpty():
@@ -89,8 +92,8 @@ def linked_classes(
     # 3
     left = written(left, f"{name}-left")
     ids = left.select("id").distinct()
-    own = items.join(ids, "id")
-    condition = near("a_", "b_")
+    own = thinned(items, ids, "id").join(ids, "id").withColumn("keys", keys)
+    condition = near("a_", "b_") if near else F.lit(True)
     if refine:
         own = own.join(refine(ids), "id")
         condition = condition & nearer("a_", "b_")

@@ -214,7 +214,7 @@ def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
         return pairs.select("a", "b", "wa", "ba", "wb", "bb").mapInArrow(run, "a long, b long")
 
     items = written(own.select(F.col("image_id").alias("id"), "keys"), "items")
-    classes, _ = linked_classes(items, lambda a, b: F.lit(True), verify, "media")
+    classes, _ = linked_classes(items, F.col("keys"), None, verify, "media")
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")
     component = F.when(F.col("image_id").isNotNull(), F.coalesce("component_id", "image_id"))

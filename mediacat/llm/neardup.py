@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = base.where("n_shingles > 0 and doc_id is not null")
     groups = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("low")), "groups")
     low = groups.select(F.col("low").alias("doc_id")).distinct()
-    items = full.dropDuplicates(["doc_id"]).join(low, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", F.col("bands").alias("keys"))
+    items = full.dropDuplicates(["doc_id"]).join(low, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", "bands")
     items = written(items, "items")
 
     def near(a: str, b: str):
@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return apart <= 2 * FINE - least_bits(2 * FINE, percent)
 
     classes, _ = linked_classes(
-        items, near, lambda pairs: confirmed(pairs, docs, k, percent), "neardup", refine=lambda ids: fine_sketches(docs, ids, k), nearer=nearer
+        items, F.col("bands"), near, lambda pairs: confirmed(pairs, docs, k, percent), "neardup", refine=lambda ids: fine_sketches(docs, ids, k), nearer=nearer
     )
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")

@@ -73,7 +73,7 @@ def test_links_across_rounds(spark):
         return pairs.join(good, ["a", "b"], "left_semi")
 
     near = lambda a, b: F.abs(F.col(f"{a}odd") - F.col(f"{b}odd")) <= 1
-    made, _ = linking.linked_classes(items, near, verify, "t", lead=1)
+    made, _ = linking.linked_classes(items, F.col("keys"), near, verify, "t", lead=1)
     assert {r.id: r.component for r in made.collect()} == {i: c for i, c in classes(ids, links).items() if any(i in x for x in links)}
     assert len(tried) == len(set(tried)) < 400 * 399 // 2
 
