@@ -150,6 +150,9 @@ query("J12_map_selection", "SELECT path FROM geo WHERE has_geo AND path IN (SELE
 query("J13_text_and_code", "SELECT o.path FROM ocr o JOIN qr q USING (path) WHERE q.qr_text <> '' AND translate(o.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the%'")(
     lambda c: people.text_search(c.ocr, ["the"], True).join(c.qr.where("qr_text <> ''"), "path", "left_semi").select("path")
 )
+query("J13_text_and_code_whole", "SELECT o.path FROM whole_ocr o JOIN qr q USING (path) WHERE q.qr_text <> '' AND translate(o.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the%'")(
+    lambda c: people.text_search(c.whole_ocr, ["the"], True).join(c.qr.where("qr_text <> ''"), "path", "left_semi").select("path")
+)
 _NAMES = "SELECT DISTINCT f.media_full_path, lower(p.name) AS name FROM faces f JOIN assignments a ON f.id = a.face_id JOIN persons p ON p.id = a.person_id"
 
 
@@ -267,6 +270,8 @@ query("O10_sync_list", "SELECT id, CASE WHEN type = 2 THEN 1 ELSE 0 END AS part,
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 query("U1_text_any", f"SELECT path FROM ocr WHERE {_FOLD} LIKE '%license%' OR {_FOLD} LIKE '%th_the%'")(lambda c: people.text_search(c.ocr, ["License", "th_the"], False).select("path"))
 query("U2_text_all", f"SELECT path FROM ocr WHERE {_FOLD} LIKE '%license%' AND {_FOLD} LIKE '%the%'")(lambda c: people.text_search(c.ocr, ["LICENSE", "the"], True).select("path"))
+query("U1_text_any_whole", f"SELECT path FROM whole_ocr WHERE {_FOLD} LIKE '%license%' OR {_FOLD} LIKE '%th_the%'")(lambda c: people.text_search(c.whole_ocr, ["License", "th_the"], False).select("path"))
+query("U2_text_all_whole", f"SELECT path FROM whole_ocr WHERE {_FOLD} LIKE '%license%' AND {_FOLD} LIKE '%the%'")(lambda c: people.text_search(c.whole_ocr, ["LICENSE", "the"], True).select("path"))
 query("U3_folders_to_scan", "SELECT path FROM (SELECT DISTINCT parent_path AS path FROM (SELECT * FROM media ORDER BY id DESC LIMIT 10) UNION SELECT path FROM included UNION SELECT path FROM pinned)")(
     lambda c: scan.newest_folders(c.media).unionByName(c.rows(INCLUDED, "path").select("path")).unionByName(c.rows(PINNED, "path").select("path")).distinct()
 )
@@ -278,10 +283,12 @@ query("U5_ever_shown", "SELECT path FROM pinned UNION SELECT d.path FROM dirs d
 )
 query("U6_temp_folder", "SELECT '/temp' AS path, -1::bigint AS n UNION ALL SELECT path, media_count FROM dirs")(lambda c: c.spark.createDataFrame([("/temp", -1)], "path string, n long").unionByName(dirs(c).select("path", F.col("media_count").alias("n"))))
 query("X1_unaccented", "SELECT doc_id, md5(trim(strip_accents(lower(substr(text, 1, 200))), ' ' || chr(10) || chr(13) || chr(9))) AS digest FROM documents")(lambda c: c.read("documents").select("doc_id", F.md5(text.unaccented(F.substring("text", 1, 200))).alias("digest")))
+query("X1_unaccented_whole", "SELECT doc_id, md5(trim(strip_accents(lower(text)), ' ' || chr(10) || chr(13) || chr(9))) AS digest FROM documents")(lambda c: c.read("documents").select("doc_id", F.md5(text.unaccented("text")).alias("digest")))
 query("X2_path_parts", "SELECT id, regexp_replace(full_path, '/[^/]*$', '') AS parent, regexp_extract(full_path, '[^/]*$') AS name, lower(regexp_extract(filename, '[^.]*$')) AS ext FROM media")(
     lambda c: c.media.select("id", text.parent_of("full_path").alias("parent"), text.name_of("full_path").alias("name"), text.extension_of("filename").alias("ext"))
 )
 query("X3_wildcards", f"SELECT path FROM ocr WHERE {_FOLD} LIKE '%th%er%'")(lambda c: c.ocr.where(text.like_pattern("text", "Th%eR")).select("path"))
+query("X3_wildcards_whole", f"SELECT path FROM whole_ocr WHERE {_FOLD} LIKE '%th%er%'")(lambda c: c.whole_ocr.where(text.like_pattern("text", "Th%eR")).select("path"))
 query("X7_bin_paths", "SELECT id, 'recycle_bin' || full_path AS bin_path FROM media WHERE deleted_ts <> 0")(lambda c: c.media.where("deleted_ts <> 0").select("id", F.concat(F.lit(mutate.BIN), "full_path").alias("bin_path")))
 query("X8_mime", "SELECT mime, count(*) AS n FROM (SELECT CASE WHEN id % 10 IN (0, 1, 7) THEN 'image/jpeg' WHEN id % 10 = 2 THEN 'image/png' WHEN id % 10 = 3 THEN 'video/mp4' WHEN id % 10 = 4 THEN 'image/gif' WHEN id % 10 = 9 THEN 'image/heic' ELSE 'application/octet-stream' END AS mime FROM media) GROUP BY 1")(lambda c: c.media.groupBy(text.mime_of("filename").alias("mime")).agg(F.count("*").alias("n")))
 query("X9_html_escape", "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest FROM pages")(lambda c: c.read("pages").select("page_id", F.md5(text.html_escaped("html")).alias("digest")))

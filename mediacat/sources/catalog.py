@@ -116,6 +116,11 @@ class Catalog:
     def ocr(self) -> DataFrame:
         return self.read("documents").select(F.concat(F.lit("/ocr/"), F.col("doc_id").cast("string")).alias("path"), F.substring("text", 1, 8000).alias("text"))
 
+    @cached_property
+    def whole_ocr(self) -> DataFrame:
+        """Recognised texts without the cut of the index."""
+        return self.read("documents").select(F.concat(F.lit("/ocr/"), F.col("doc_id").cast("string")).alias("path"), "text")
+
     @cached_property
     def qr(self) -> DataFrame:
         return self.read("pages").select(F.concat(F.lit("/ocr/"), F.col("page_id").cast("string")).alias("path"), F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise("").alias("qr_text"))

@@ -35,6 +35,7 @@ TABLES = {
     "geo": """SELECT '/geo/' || c_custkey AS path, (CASE WHEN c_custkey % 3 = 0 THEN -35e0 ELSE 47e0 END) + ((c_custkey * 7919) % 3000) / 1e3 AS lat,
         (CASE WHEN c_custkey % 3 = 0 THEN -72e0 ELSE 16e0 END) + ((c_custkey * 104729) % 6000) / 1e3 AS lon, c_custkey % 5 <> 0 AS has_geo FROM customer""",
     "ocr": "SELECT '/ocr/' || doc_id AS path, substr(text, 1, 8000) AS text FROM documents",
+    "whole_ocr": "SELECT '/ocr/' || doc_id AS path, text FROM documents",
     "qr": "SELECT '/ocr/' || page_id AS path, CASE WHEN page_id % 3 = 0 THEN url ELSE '' END AS qr_text FROM pages",
     "included": _values(f"{_P}WhatsApp/Media/.Statuses/click", f"{_P}pictures/screenshots"),
     "excluded": _values(f"{_P}Download", f"{_P}Pictures/Trip/view"),
