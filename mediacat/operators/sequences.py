@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import day_start
 from ..functions.text import ascii_fold, extension_of
+from ..llm.shared import written
 
 #: Time buckets by which bursts are sought.
 BUCKET_MS = 6 * 3_600_000
@@ -93,6 +94,20 @@ def sorted_faces(faces: DataFrame, by: str, descending: bool) -> DataFrame:
     return faces.orderBy(F.desc(by), F.desc("id")) if descending else faces.orderBy(by, "id")
 
 
+def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """All ``rows`` with their place (from 1) in a total ``order``.
+
+    Rows are range-partitioned and sorted, and written with their number inside the partition, so that numbers and counts are
+    of one run; the sums of the counts before, one narrow row a partition, are added.
+    """
+    own = written(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "placed").withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy("_part").agg(F.count("*").alias("n"))
+    counts = counts.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return own.join(F.broadcast(counts), "_part").withColumn("place", place).drop("_part", "_at", "_before")
+
+
 def searched(rows: DataFrame, text: str, column: str = "filename") -> DataFrame:
     """Names containing ``text`` in any case (nothing is a wildcard); those that start with it have rank 0."""
     name, wanted = F.lower(column), text.lower()

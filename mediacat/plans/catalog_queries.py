@@ -250,17 +250,29 @@ for _by, _key in (("name", "lower(filename)"), ("size", "size"), ("taken", "date
     query(f"O1_sorted_by_{_by}", f"SELECT id, row_number() OVER (ORDER BY {_key} DESC, id) AS place FROM clean ORDER BY place LIMIT 100")(
         lambda c, by=_by: sequences.sorted_media(listed(c), by, True).limit(100).select("id", F.expr(f"row_number() over (order by {({'name': 'lower(filename)', 'size': 'size', 'taken': 'date_taken'})[by]} desc, id)").cast("long").alias("place"))
     )
+    query(f"O1_sorted_by_{_by}_whole", f"SELECT id, row_number() OVER (ORDER BY {_key} DESC, id) AS place FROM clean")(
+        lambda c, by=_by: sequences.placed(listed(c).select("id", sequences.sort_key(by).alias("k")), F.desc("k"), "id").select("id", "place")
+    )
 query("O2_custom_order", f"SELECT path, CASE WHEN path = '{PINNED[0]}' THEN 1 WHEN path = '{PINNED[1]}' THEN 2 ELSE 1073741824 END::bigint AS rank FROM dirs")(lambda c: folders.custom_order(dirs(c), "|||".join(PINNED)))
 query("O3_pinned_first", "SELECT path, CASE WHEN path IN (SELECT path FROM pinned) THEN 0 ELSE 1 END AS pin_rank, media_count AS sort_key FROM dirs")(lambda c: folders.ordered(dirs(c), "count", pinned=c.rows(PINNED, "path")).select("path", "pin_rank", "sort_key"))
 query("O4_sorted_faces", "SELECT id, round(score, 6) AS score FROM faces ORDER BY score DESC, id DESC LIMIT 50")(lambda c: sequences.sorted_faces(c.faces, "score", True).limit(50).select("id", F.round("score", 6).alias("score")))
+query("O4_sorted_faces_whole", "SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id DESC) AS place FROM faces")(
+    lambda c: sequences.placed(c.faces.select("id", "score"), F.desc("score"), F.desc("id")).select("id", F.round("score", 6).alias("score"), "place")
+)
 query("O5_persons_by_faces", f"SELECT id, n_faces, row_number() OVER (ORDER BY n_faces DESC, lower(name)) AS place FROM ({_SUMMARY})")(
     lambda c: people.person_summary(c.persons, c.assignments, c.faces).select("id", "n_faces", F.expr("row_number() over (order by n_faces desc, lower(name))").cast("long").alias("place"))
 )
 query("O6_natural_order", "SELECT id, row_number() OVER (ORDER BY CASE WHEN filename LIKE '.%' THEN 0 ELSE 1 END, id) AS place FROM media ORDER BY place LIMIT 100")(
     lambda c: c.media.withColumn("k", text.natural_key("filename")).orderBy("k", "id").limit(100).select("id", F.expr("row_number() over (order by k, id)").cast("long").alias("place"))
 )
+query("O6_natural_order_whole", "SELECT id, row_number() OVER (ORDER BY CASE WHEN filename LIKE '.%' THEN 0 ELSE 1 END, id) AS place FROM media")(
+    lambda c: sequences.placed(c.media.select("id", text.natural_key("filename").alias("k")), "k", "id").select("id", "place")
+)
 query("O7_unlabelled_cap", "SELECT id FROM faces WHERE score >= 0.5 AND bbox_right - bbox_left >= 15 AND id NOT IN (SELECT face_id FROM assignments) AND id NOT IN (SELECT face_id FROM ignored) ORDER BY score DESC, id LIMIT 1500")(lambda c: people.unlabelled(c.faces, c.assignments, c.ignored).orderBy(F.desc("score"), "id").limit(1500).select("id"))
 query("O9_search_order", "SELECT id, date_taken FROM clean WHERE contains(lower(filename), '77') ORDER BY date_taken DESC, id LIMIT 200")(lambda c: sequences.searched(listed(c), "77").orderBy(F.desc("date_taken"), "id").limit(200).select("id", "date_taken"))
+query("O9_search_order_whole", "SELECT id, date_taken, row_number() OVER (ORDER BY date_taken DESC, id) AS place FROM clean WHERE contains(lower(filename), '77')")(
+    lambda c: sequences.placed(sequences.searched(listed(c), "77").select("id", "date_taken"), F.desc("date_taken"), "id").select("id", "date_taken", "place")
+)
 query("O10_sync_list", "SELECT id, CASE WHEN type = 2 THEN 1 ELSE 0 END AS part, row_number() OVER (PARTITION BY type = 2 ORDER BY last_modified DESC, id) AS place FROM clean WHERE type IN (1, 2)")(
     lambda c: listed(c).where("type in (1, 2)").select("id", (F.col("type") == 2).cast("int").alias("part"), F.expr("row_number() over (partition by type = 2 order by last_modified desc, id)").cast("long").alias("place"))
 )
@@ -298,6 +310,11 @@ query("X12_location", "SELECT count(*) AS n, CASE WHEN full_path LIKE '/storage/
 query("M3_dot_products", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 5) AS dot FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id < 10")(
     lambda c: c.read("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(c.read("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))).select("a", "b", F.round(people.dot("x", "y"), 5).alias("dot"))
 )
+query("M3_dot_products_whole", """WITH e AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY 1, 2),
+    l AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1), k AS (SELECT label, list(x / greatest(n, 1e-9) ORDER BY i) AS c FROM m JOIN l USING (label) GROUP BY 1)
+    SELECT vec_id, label, round(list_dot_product(embedding::double[], c), 5) AS dot FROM embeddings JOIN k USING (label)""")(
+    lambda c: c.read("embeddings").join(people.centroids(c.read("embeddings"), "label"), "label").select("vec_id", "label", F.round(people.dot("embedding", "centroid"), 5).alias("dot"))
+)
 query("M4_unit_vectors", "SELECT vec_id, round(embedding[1]::double / sqrt(list_sum([x::double * x::double for x in embedding])), 5) AS first_value FROM embeddings")(lambda c: c.read("embeddings").select("vec_id", F.round(F.element_at(people.unit("embedding"), 1), 5).alias("first_value")))
 query(
     "V4_suggestions",

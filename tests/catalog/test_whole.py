@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mediacat.operators import sequences
 from mediacat.plans import catalog_queries as q
 
 
@@ -25,3 +26,27 @@ def test_all_characters_are_unaccented(spark, long_texts):
     got = {r.doc_id: r.digest for r in q.QUERIES["X1_unaccented_whole"](spark, long_texts).collect()}
     want = spark.range(1).select(F.md5(F.lit("x " * 200 + "e"))).first()[0]
     assert got[3] == got[4] == want and got[2] is None and got[0] != got[1]
+
+
+WHOLE = ["O1_sorted_by_name_whole", "O1_sorted_by_size_whole", "O1_sorted_by_taken_whole", "O4_sorted_faces_whole", "O6_natural_order_whole", "O9_search_order_whole"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_orders_begin_as_the_cut_ones_and_go_on(spark, name):
+    sf = "/root/testdata/sf0.01"
+    whole = [r.id for r in q.QUERIES[name](spark, sf).orderBy("place").collect()]
+    first = [r.id for r in q.QUERIES[name.removesuffix("_whole")](spark, sf).collect()]
+    assert whole[: len(first)] == first and len(whole) > len(first)
+
+
+def test_places_over_many_partitions(spark):
+    rows = spark.range(0, 1000, 1, 7).select("id", (F.col("id") * 37 % 11).alias("k"))
+    want = {r.id: i + 1 for i, r in enumerate(sorted(rows.collect(), key=lambda r: (-r.k, r.id)))}
+    assert {r.id: r.place for r in sequences.placed(rows, F.desc("k"), "id").collect()} == want
+    assert sequences.placed(rows.where("id < 0"), "id").count() == 0
+
+
+def test_dot_products_of_all_vectors(spark):
+    sf = "/root/testdata/sf0.001"
+    got = q.QUERIES["M3_dot_products_whole"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() and -1.00001 <= got.agg(F.min("dot")).first()[0]
