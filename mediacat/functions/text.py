@@ -70,6 +70,16 @@ def natural_key(x: str | Column) -> Column:
     return F.array_join(padded, "")
 
 
+def hidden(name: str) -> Column:
+    """A file name with a dot before it; one that begins with a dot is hidden already and stays."""
+    return F.when(F.startswith(F.col(name), F.lit(".")), F.col(name)).otherwise(F.concat(F.lit("."), name))
+
+
+def unhidden(name: str) -> Column:
+    """A hidden file name without its first character; others stay."""
+    return F.when(F.startswith(F.col(name), F.lit(".")), F.expr(f"substring({name}, 2)")).otherwise(F.col(name))
+
+
 def unaccented(x: str | Column) -> Column:
     """Lower-case, trimmed, without combining marks; Spark has no function for the decomposition."""
     import unicodedata

@@ -301,6 +301,7 @@ query("X2_path_parts", "SELECT id, regexp_replace(full_path, '/[^/]*$', '') AS p
 )
 query("X3_wildcards", f"SELECT path FROM ocr WHERE {_FOLD} LIKE '%th%er%'")(lambda c: c.ocr.where(text.like_pattern("text", "Th%eR")).select("path"))
 query("X3_wildcards_whole", f"SELECT path FROM whole_ocr WHERE {_FOLD} LIKE '%th%er%'")(lambda c: c.whole_ocr.where(text.like_pattern("text", "Th%eR")).select("path"))
+query("X6_hidden_names", "SELECT id, CASE WHEN filename LIKE '.%' THEN filename ELSE '.' || filename END AS hidden, CASE WHEN filename LIKE '.%' THEN substr(filename, 2) ELSE filename END AS unhidden FROM media")(lambda c: c.media.select("id", text.hidden("filename").alias("hidden"), text.unhidden("filename").alias("unhidden")))
 query("X7_bin_paths", "SELECT id, 'recycle_bin' || full_path AS bin_path FROM media WHERE deleted_ts <> 0")(lambda c: c.media.where("deleted_ts <> 0").select("id", F.concat(F.lit(mutate.BIN), "full_path").alias("bin_path")))
 query("X8_mime", "SELECT mime, count(*) AS n FROM (SELECT CASE WHEN id % 10 IN (0, 1, 7) THEN 'image/jpeg' WHEN id % 10 = 2 THEN 'image/png' WHEN id % 10 = 3 THEN 'video/mp4' WHEN id % 10 = 4 THEN 'image/gif' WHEN id % 10 = 9 THEN 'image/heic' ELSE 'application/octet-stream' END AS mime FROM media) GROUP BY 1")(lambda c: c.media.groupBy(text.mime_of("filename").alias("mime")).agg(F.count("*").alias("n")))
 query("X9_html_escape", "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest FROM pages")(lambda c: c.read("pages").select("page_id", F.md5(text.html_escaped("html")).alias("digest")))

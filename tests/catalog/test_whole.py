@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mediacat.functions import text
 from mediacat.operators import sequences
 from mediacat.plans import catalog_queries as q
 
@@ -50,3 +51,8 @@ def test_dot_products_of_all_vectors(spark):
     sf = "/root/testdata/sf0.001"
     got = q.QUERIES["M3_dot_products_whole"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/embeddings.parquet").count() and -1.00001 <= got.agg(F.min("dot")).first()[0]
+
+
+def test_hidden_names(spark):
+    df = spark.createDataFrame([("a.jpg",), ("..a.jpg",), (".b",)], "n string")
+    assert [tuple(r) for r in df.select(text.hidden("n"), text.unhidden("n")).collect()] == [(".a.jpg", "a.jpg"), ("..a.jpg", ".a.jpg"), (".b", "b")]
