@@ -3,109 +3,273 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, discard, mix64, written
 
-#: Keys of each item that the first round looks at.
-LEAD = 10
+#: Entries (key, id, ...) that a task holds before it deals them out, and entries that a part should have.
+HELD, PART = 1 << 20, 1 << 20
+#: Members of an open bucket that are compared with each other in one group; larger buckets are dealt out as pairs of chunks.
+CHUNK = 1 << 14
+
+#: From the columns (w, ...) of two sides to their distance, infinite where no link can be.
+Near = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+
+def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits in which the words of two sides differ, all words together."""
+    return sum((np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int32) for x, y in zip(a, b, strict=True)), np.int32(0))
+
+
+# --------------------------------------------------------------------------- packed entries
+
+
+def _runs(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins, and the end."""
+    return np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]]) if len(keys) else np.zeros(1, np.int64)
+
+
+#: Kinds of packed rows: entries (key, id, ...) whose key decides the part, pairs of ids, and members (key, id) of buckets.
+ENTRIES, PAIRS, MEMBERS = 0, 1, 2
+
+
+def _dealt(rows: DataFrame, parts: int, combine: Callable[[np.ndarray], dict[int, np.ndarray]]) -> DataFrame:
+    """The entries of ``rows`` (keys array<long>, then longs), packed by part: (part, kind, block of longs).
+
+    All entries of one key go to one part. What a task holds is combined first: ``combine`` maps entries (a matrix whose first
+    column is the key) to rows of each kind; pairs and members go to the part of their hash, so no key is in their way.
+    """
+    width = len(rows.columns)
+
+    def blocks(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for kind, block in combine(np.concatenate(held)).items():
+            if not len(block):
+                continue
+            part = mix64(block[:, 0].view(np.uint64))
+            if kind != ENTRIES:
+                part = mix64(part ^ block[:, 1].view(np.uint64))
+            part = (part % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            at = _runs(part[order])
+            data = np.ascontiguousarray(block[order])
+            offsets = (at * (8 * data.shape[1])).astype(np.int32)
+            binary = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([pa.array(part[order][at[:-1]].astype(np.int32)), pa.array(np.full(len(at) - 1, kind, np.int32)), binary], names=["part", "kind", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, many = [], 0
+        for batch in batches:
+            lists = batch.column(0)
+            counts = np.diff(lists.offsets.to_numpy())
+            entries = np.empty((int(counts.sum()), width), np.int64)
+            entries[:, 0] = lists.flatten().to_numpy(zero_copy_only=False)
+            for j in range(1, width):
+                entries[:, j] = np.repeat(batch.column(j).to_numpy(zero_copy_only=False), counts)
+            held.append(entries)
+            many += len(entries)
+            if many >= HELD:
+                yield from blocks(held)
+                held, many = [], 0
+        if many:
+            yield from blocks(held)
+
+    return rows.where(F.col(rows.columns[0]).isNotNull()).mapInArrow(run, "part int, kind int, block binary")
+
+
+def _parts_of(spark: SparkSession, entries: int) -> int:
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), entries // PART)
+
+
+def _by_part(packed: DataFrame, width: int, then: Callable[[np.ndarray, np.ndarray, np.ndarray], dict[int, np.ndarray]]) -> DataFrame:
+    """(kind, x, y): ``then`` of each part's entries, pairs and members."""
+    widths = {ENTRIES: width, PAIRS: 2, MEMBERS: 2}
+
+    def run(table: pa.Table) -> pa.Table:
+        kinds, blocks = table.column("kind").to_pylist(), table.column("block").to_pylist()
+        sides = [np.concatenate([np.zeros((0, w), np.int64), *(np.frombuffer(b, np.int64).reshape(-1, w) for b, k in zip(blocks, kinds, strict=True) if k == kind)]) for kind, w in widths.items()]
+        out = then(*sides)
+        kind = np.concatenate([np.full(len(v), k, np.int32) for k, v in out.items()])
+        both = np.concatenate(list(out.values()))
+        return pa.Table.from_arrays([pa.array(kind), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["kind", "x", "y"])
+
+    return packed.groupBy("part").applyInArrow(run, "kind int, x long, y long")
+
+
+# --------------------------------------------------------------------------- what is done with a key's entries
+
+
+def _ends(entries: np.ndarray) -> dict[int, np.ndarray]:
+    """Distinct entries (key, id), of each key only the smallest and the largest id; pairs of the others with these two."""
+    order = np.lexsort((entries[:, 1], entries[:, 0]))
+    entries = entries[order]
+    new = np.ones(len(entries), bool)
+    new[1:] = (np.diff(entries[:, 0]) != 0) | (np.diff(entries[:, 1]) != 0)
+    entries = entries[new]
+    at = _runs(entries[:, 0])
+    first, last = at[:-1], at[1:] - 1
+    inner = np.ones(len(entries), bool)
+    inner[first] = inner[last] = False
+    size = np.diff(at)
+    low, high = np.repeat(entries[first, 1], size)[inner], np.repeat(entries[last, 1], size)[inner]
+    pairs = np.concatenate([np.stack([low, entries[inner, 1]], 1), np.stack([entries[inner, 1], high], 1)])
+    return {ENTRIES: entries[~inner], PAIRS: pairs, MEMBERS: entries[inner]}
+
+
+def _met(entries: np.ndarray, pairs: np.ndarray, members: np.ndarray) -> dict[int, np.ndarray]:
+    """Pairs (a, b), a < b, of each key's members with its smallest and its largest id, and all members, of keys with several."""
+    own = _ends(entries)
+    left = own[ENTRIES]
+    at = _runs(left[:, 0])
+    two = at[:-1][np.diff(at) == 2]
+    pairs = np.concatenate([pairs, own[PAIRS], np.stack([left[two, 1], left[two + 1, 1]], 1)])
+    return {PAIRS: np.unique(pairs, axis=0), MEMBERS: np.concatenate([members, own[MEMBERS], left[two], left[two + 1]])}
+
+
+def _across(near: Near, best: bool) -> Callable[..., dict[int, np.ndarray]]:
+    """Of the entries (key, id, component, chunk, columns of near): pairs of different components that can be linked.
+
+    With ``best`` each id outside of its bucket's largest component gets its nearest id, else all such pairs are given. If
+    there are two chunks of a key, only pairs of both are looked at.
+    """
+
+    def of_bucket(e: np.ndarray) -> Iterator[np.ndarray]:
+        _, component, size = np.unique(e[:, 2], return_inverse=True, return_counts=True)
+        rest = np.flatnonzero(component != size.argmax())
+        split = (e[:, 3] != e[0, 3]).any()
+        columns = np.ascontiguousarray(e[:, 4:].T)
+        step = max(1, (1 << 22) // (len(e) * max(1, len(columns))))
+        for i in range(0, len(rest), step):
+            own = rest[i : i + step]
+            apart = near(columns[:, own, None], columns[:, None, :]).astype(np.float32)
+            apart[component[own][:, None] == component[None]] = np.inf
+            if split:
+                apart[e[own, 3][:, None] == e[None, :, 3]] = np.inf
+            if best:
+                to = apart.argmin(1)
+                ok = np.isfinite(apart[np.arange(len(own)), to])
+                x, y = own[ok], to[ok]
+            else:
+                x, y = np.nonzero(np.isfinite(apart))
+                x = own[x]
+            yield np.sort(np.stack([e[x, 1], e[y, 1]], 1), axis=1)
+
+    def run(entries: np.ndarray, _pairs: np.ndarray, _members: np.ndarray) -> dict[int, np.ndarray]:
+        entries = entries[np.argsort(entries[:, 0], kind="stable")]
+        at = _runs(entries[:, 0])
+        found = [p for a, b in zip(at[:-1], at[1:], strict=True) for p in of_bucket(entries[a:b])]
+        return {PAIRS: np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)}
+
+    return run
+
+
+_as_they_are = lambda entries: {ENTRIES: entries}
+
+
+# --------------------------------------------------------------------------- classes
 
 
 def linked_classes(
-    items: DataFrame,
-    keys: Column,
-    near: Callable[[str, str], Column] | None,
-    verify: Callable[[DataFrame], DataFrame],
-    name: str,
-    lead: int = LEAD,
-    refine: Callable[[DataFrame], DataFrame] | None = None,
-    nearer: Callable[[str, str], Column] | None = None,
+    keys: list[tuple[DataFrame, int]], items: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], name: str, refine: Callable[[DataFrame], DataFrame] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of the ids that verified links join, and those links that were needed to find them.
 
-    ``items`` has a row for each item (id long, and what ``keys`` and ``near`` read), ids distinct; it is read several times,
-    so it had better come from a written table. ``keys`` is the array<long> of an item's keys. Two items are
-    candidates if they share a key and ``near(a, b)`` holds (if given), a condition on the plain columns prefixed a and b that no link fails.
+    ``keys`` has tables (keys array<long>, id long) and about how many keys each has in all; each is read once, and dealt out
+    one after the other. ``items`` has (id long, and longs that ``near`` reads) and is read several times, so it had better
+    come from a written table. An id may have several rows if they are equal.
+    Two items are candidates if they share a key and their distance by ``near`` is finite, as it is for all that are linked.
     ``verify`` takes distinct candidates (a, b), a < b, and returns the linked ones.
 
-    1. By the first ``lead`` keys, each item of a bucket is paired with the bucket's smallest and largest one: two pairs
-       an item and key.
-    2. By all keys, buckets whose items are of one component are closed: nothing in them can add to the classes. In the
-       others the smallest item of each component is paired with the bucket's smallest.
-    3. In the buckets that still are open, all candidates across components are verified, each from the first bucket that
-       it shares. So every pair of candidates has been verified or lies in one component, and no link between components is
-       lost; most of a large group of near copies, whose buckets were closed before, does not get here. For the items that
-       do, ``refine`` may give finer columns (by id) on which ``nearer`` is a sharper condition of the same kind.
-
-    Minima are combined before each shuffle. Rows are thinned out by a filter on the keys that matter before they are joined
-    back, by plain equi-joins that adaptive execution may split.
+    1. Each item of a bucket is paired with the bucket's smallest and largest id: two pairs an item and key, at most.
+       Tasks do this for what they hold before they deal keys out, so of a hot key two entries a task are gathered.
+    2. Buckets whose items are of one component are closed: nothing in them can add to the classes. In the others each item
+       outside of the largest component is paired with its nearest one of another component: one pair an item and key.
+    3. In the buckets that still are open, all candidates across components are verified. So every pair of candidates has
+       been verified or lies in one component, and no link between components is lost. Candidates are found by comparing
+       columns in numpy, in blocks; pairs that are no candidates are never rows. A bucket of more than CHUNK members is dealt
+       out as pairs of chunks.
+
+    For the ids in open buckets ``refine`` may give finer columns (by id), which ``near`` gets after the others.
+    Entries are packed by the key's part before they are shuffled, so a key costs 16 bytes and no row of its own.
     Returns (id, component) of the linked ids, and the links (a, b).
     """
-    def prefixed(rows: DataFrame, x: str, *plain: str) -> DataFrame:
-        return rows.select(*plain, *[F.col(c).alias(x if c == "id" else f"{x}_{c}") for c in rows.columns if c not in plain])
-
-    def candidates(pairs: DataFrame, step: int) -> DataFrame:
-        if near is None:
-            return pairs
-        pairs = written(pairs, f"{name}-met-{step}")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        plain = items.select(*[c for c, kind in items.dtypes if not kind.startswith("array")])
-        info = written(thinned(plain, ids, "id").join(ids, "id"), f"{name}-info-{step}")
-        return pairs.join(prefixed(info, "a"), "a").join(prefixed(info, "b"), "b").where(near("a_", "b_")).select("a", "b")
+    spark = items.sparkSession
+    columns = [c for c in items.columns if c != "id"]
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        """The pairs whose distance is finite."""
+        for x in "ab":
+            pairs = pairs.join(info.select(F.col("id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns]), x)
+        pairs = pairs.select("a", "b", *[f"{x}_{c}" for x in "ab" for c in columns])
+        w = len(columns)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                side = np.stack([batch.column(2 + j).to_numpy(zero_copy_only=False) for j in range(2 * w)])
+                yield batch.select([0, 1]).filter(pa.array(np.isfinite(near(side[:w], side[w:]))))
+
+        return pairs.mapInArrow(run, "a long, b long")
+
+    def linked(pairs: DataFrame, step: int) -> DataFrame | None:
+        """The links among the pairs, None if there are no pairs or links."""
+        if pairs.isEmpty():
+            return None
+        found = written(verify(pairs), f"{name}-links-{step}")
+        return None if found.isEmpty() else found
 
     # 1
-    buckets = items.select("id", F.explode(F.slice(keys, 1, lead)).alias("key"))
-    ends = written(buckets.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high"), f"{name}-keys-1")
-    members = thinned(buckets, ends.select("key"), "key").join(ends, "key")
-    pairs = members.select("low", "id", "high").distinct()
-    pairs = pairs.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p"))
-    pairs = pairs.select("p.*").where("a < b").distinct()
-    tried = written(candidates(pairs, 1), f"{name}-pairs-1")
-    links = written(verify(tried), f"{name}-links-1")
+    met = [written(_by_part(_dealt(table.select("keys", "id"), _parts_of(spark, many), _ends), 2, _met), f"{name}-met") for table, many in keys]
+    rows = reduce(DataFrame.unionByName, met)
+    pairs = rows.where(F.col("kind") == PAIRS).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    members = rows.where(F.col("kind") == MEMBERS).select(F.col("x").alias("key"), F.col("y").alias("id"))
+    # what met nothing is in no bucket with another
+    ids = members.select("id").distinct()
+    info = written(thinned(items, ids, "id").join(ids, "id").dropDuplicates(["id"]), f"{name}-info")
+    tried = written(candidates(pairs), f"{name}-pairs-1")
+    links = linked(tried, 1)
+    if links is None:
+        links = tried.limit(0)
     classes = written(components(links, f"{name}-1"), f"{name}-classes-1")
 
-    # 2
-    part = F.coalesce("component", "id").alias("component")
-    buckets = items.join(classes, "id", "left").select("id", part, F.explode(keys).alias("key"))
-    ends = buckets.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-    ends = written(ends, f"{name}-keys-2")
-    left = written(thinned(buckets, ends, "key").join(ends, "key"), f"{name}-open")
-    if left.isEmpty():
-        return classes, links
-    heads = left.groupBy("key", "component").agg(F.min("id").alias("id"))
-    low = heads.groupBy("key").agg(F.min("id").alias("low"))
-    pairs = heads.join(low, "key").where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    more = written(candidates(pairs.join(tried, ["a", "b"], "left_anti"), 2), f"{name}-pairs-2")
-    found = written(verify(more), f"{name}-links-2")
-    tried = tried.unionByName(more)
-    if not found.isEmpty():
-        links = links.unionByName(found)
-        classes = written(components(links, f"{name}-2"), f"{name}-classes-2")
-        left = left.drop("component").join(classes, "id", "left").select("key", "id", part)
-        ends = left.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key")
-        left = left.join(ends, "key")
-
-    # 3
-    left = written(left, f"{name}-left")
-    ids = left.select("id").distinct()
-    own = thinned(items, ids, "id").join(ids, "id").withColumn("keys", keys)
-    condition = near("a_", "b_") if near else F.lit(True)
-    if refine:
-        own = own.join(refine(ids), "id")
-        condition = condition & nearer("a_", "b_")
-    left = left.join(own, "id")
-    first = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
-    pairs = prefixed(left, "a", "key").join(prefixed(left, "b", "key"), "key").where(F.expr("a < b and a_component <> b_component") & condition & first)
-    more = written(pairs.select("a", "b").join(tried, ["a", "b"], "left_anti"), f"{name}-pairs-3")
-    found = written(verify(more), f"{name}-links-3")
-    if found.isEmpty():
-        return classes, links
-    links = links.unionByName(found)
-    return components(links, f"{name}-3"), links
+    def still_open(classes: DataFrame, step: int) -> DataFrame:
+        """(key, id, component) of the open buckets, with the number n of their members."""
+        placed = members.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        spans = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n"))
+        spans = written(spans.where("p <> q").select("key", "n"), f"{name}-keys-{step}")
+        return written(placed.join(spans, "key"), f"{name}-open-{step}")
+
+    def across(left: DataFrame, fine: DataFrame, best: bool) -> DataFrame:
+        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+        cells = left.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), chunks - 1)))
+        cell = F.when(F.col("n") <= CHUNK, F.col("key")).otherwise(F.xxhash64("key", F.least("chunk", "to"), F.greatest("chunk", "to")))
+        own = [f"near_{c}" for c in fine.columns if c != "id"]
+        rows = cells.withColumn("cell", cell).join(fine.select("id", *[F.col(c.removeprefix("near_")).alias(c) for c in own]), "id")
+        rows = rows.select(F.array("cell").alias("keys"), "id", "component", F.col("chunk").cast("long").alias("chunk"), *own)
+        found = _by_part(_dealt(rows, _parts_of(spark, left.count()), _as_they_are), len(rows.columns), _across(near, best))
+        return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+
+    left = still_open(classes, 2)
+    for step, best in ((2, True), (3, False)):
+        if left.isEmpty():
+            break
+        if step == 2:
+            own = left.select("id").distinct()
+            fine = info.join(own, "id")
+            fine = written(fine.join(refine(own), "id") if refine else fine, f"{name}-fine")
+        more = written(across(left, fine, best), f"{name}-pairs-{step}")
+        tried = tried.unionByName(more)
+        found = linked(more, step)
+        if found is not None:
+            links = links.unionByName(found)
+            classes = written(components(links, f"{name}-{step}"), f"{name}-classes-{step}")
+            left = still_open(classes, 3) if best else left
+    discard(*met, info)
+    return classes, links
 
 
 #: Bits, as a power of two, of the largest filter by which rows are thinned out before they are shuffled: 8 MB.

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import linked_classes, thinned
-from .shared import mix64, written
+from .shared import discard, mix64, written
 
 #: Radius of a descriptor's patch, number of its tests, and the steps to which orientations are rounded.
 RADIUS, TESTS, TURNS = 11, 256, 32
@@ -213,8 +213,14 @@ def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
 
         return pairs.select("a", "b", "wa", "ba", "wb", "bb").mapInArrow(run, "a long, b long")
 
-    items = written(own.select(F.col("image_id").alias("id"), "keys"), "items")
-    classes, _ = linked_classes(items, F.col("keys"), None, verify, "media")
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Corners of two sides: all images that have enough of them may be copies."""
+        return np.where(np.minimum(a[0], b[0]) < least, np.inf, 0.0)
+
+    items = written(own.select(F.col("image_id").alias("id"), "n_corners", "keys"), "items")
+    many = items.agg(F.sum(F.size("keys"))).first()[0] or 0
+    classes, _ = linked_classes([(items.select("keys", "id"), many)], items.drop("keys"), near, verify, "media")
+    discard(items)
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")
     component = F.when(F.col("image_id").isNotNull(), F.coalesce("component_id", "image_id"))

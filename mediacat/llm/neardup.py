@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import linked_classes, thinned
-from .shared import mix64, shingles, string_slices, word_hashes, written
+from .linking import bits_apart, linked_classes, thinned
+from .shared import discard, mix64, shingles, string_slices, word_hashes, written
 
 #: 40 bands of 6 values; 120 permutations give 240 values. A pair at a similarity of 0.8 is missed once in 190,000.
 BANDS, ROWS = 40, 6
@@ -177,21 +177,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     full = base.where("n_shingles > 0 and doc_id is not null")
     groups = written(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("low")), "groups")
     low = groups.select(F.col("low").alias("doc_id")).distinct()
-    items = full.dropDuplicates(["doc_id"]).join(low, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", "bands")
+    items = full.dropDuplicates(["doc_id"]).join(low, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "s1", "s2", F.col("bands").alias("keys"))
     items = written(items, "items")
 
-    def near(a: str, b: str):
-        sizes = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
-        apart = F.bit_count(F.col(f"{a}s1").bitwiseXOR(F.col(f"{b}s1"))) + F.bit_count(F.col(f"{a}s2").bitwiseXOR(F.col(f"{b}s2")))
-        return sizes & (apart <= 128 - least_bits(128, percent))
+    most, finest = 128 - least_bits(128, percent), 2 * FINE - least_bits(2 * FINE, percent)
 
-    def nearer(a: str, b: str):
-        apart = sum((F.bit_count(F.col(f"{a}f{j}").bitwiseXOR(F.col(f"{b}f{j}"))) for j in range(2 * FINE // 64)), F.lit(0))
-        return apart <= 2 * FINE - least_bits(2 * FINE, percent)
+    def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes, sketches and, where there are any, fine sketches of two sides."""
+        apart = bits_apart(a[1:3], b[1:3])
+        no = (100 * np.minimum(a[0], b[0]) < percent * np.maximum(a[0], b[0])) | (apart > most)
+        if len(a) > 3:
+            apart = bits_apart(a[3:], b[3:])
+            no |= apart > finest
+        return np.where(no, np.inf, apart)
 
-    classes, _ = linked_classes(
-        items, F.col("bands"), near, lambda pairs: confirmed(pairs, docs, k, percent), "neardup", refine=lambda ids: fine_sketches(docs, ids, k), nearer=nearer
-    )
+    keys = [(items.select("keys", "id"), items.count() * BANDS)]
+    classes, _ = linked_classes(keys, items.drop("keys"), near, lambda pairs: confirmed(pairs, docs, k, percent), "neardup", lambda ids: fine_sketches(docs, ids, k))
+    discard(items)
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

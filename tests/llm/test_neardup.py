@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
 from mediacat.llm import linking, neardup, registry, shared
 
@@ -64,7 +63,7 @@ def test_links_across_rounds(spark):
     ids = list(range(400))
     keys = {i: [7, *([3] if i < 100 else [rng.randrange(10**9)]), *([5] if i in (50, 201, 203, 350) else []), rng.randrange(10**9)] for i in ids}
     links = {(i, i + 1) for i in range(99)} | {(201, 203), (50, 350)} | {(0, i) for i in range(60)}
-    items = spark.createDataFrame([(i, k, i % 2) for i, k in keys.items()], "id long, keys array<long>, odd int")
+    items = spark.createDataFrame([(i, k, i % 2) for i, k in keys.items()], "id long, keys array<long>, odd long")
     good = spark.createDataFrame(sorted(links), "a long, b long")
     tried = []
 
@@ -72,8 +71,8 @@ def test_links_across_rounds(spark):
         tried.extend(pairs.collect())
         return pairs.join(good, ["a", "b"], "left_semi")
 
-    near = lambda a, b: F.abs(F.col(f"{a}odd") - F.col(f"{b}odd")) <= 1
-    made, _ = linking.linked_classes(items, F.col("keys"), near, verify, "t", lead=1)
+    near = lambda a, b: np.where(np.abs(a[0] - b[0]) <= 1, 1.0, np.inf)
+    made, _ = linking.linked_classes([(items, 4 * len(ids))], items.drop("keys"), near, verify, "t")
     assert {r.id: r.component for r in made.collect()} == {i: c for i, c in classes(ids, links).items() if any(i in x for x in links)}
     assert len(tried) == len(set(tried)) < 400 * 399 // 2
 
