@@ -51,16 +51,19 @@ def _dealt(rows: DataFrame, parts: int, combine: Callable[[np.ndarray], dict[int
         for kind, block in combine(np.concatenate(held)).items():
             if not len(block):
                 continue
-            part = mix64(block[:, 0].view(np.uint64))
+            spot = block[:, 0].view(np.uint64)
             if kind != ENTRIES:
-                part = mix64(part ^ block[:, 1].view(np.uint64))
-            part = (part % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            at = _runs(part[order])
-            data = np.ascontiguousarray(block[order])
+                spot = mix64(mix64(spot) ^ block[:, 1].view(np.uint64))
+            # parts are ranges of the (evenly spread) keys, in whose order entries are already
+            part = ((spot >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            if (np.diff(part) < 0).any():
+                order = np.argsort(part, kind="stable")
+                part, block = part[order], block[order]
+            at = _runs(part)
+            data = np.ascontiguousarray(block)
             offsets = (at * (8 * data.shape[1])).astype(np.int32)
             binary = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([pa.array(part[order][at[:-1]].astype(np.int32)), pa.array(np.full(len(at) - 1, kind, np.int32)), binary], names=["part", "kind", "block"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]]), pa.array(np.full(len(at) - 1, kind, np.int32)), binary], names=["part", "kind", "block"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, many = [], 0
@@ -104,31 +107,48 @@ def _by_part(packed: DataFrame, width: int, then: Callable[[np.ndarray, np.ndarr
 # --------------------------------------------------------------------------- what is done with a key's entries
 
 
+def _by_key(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries in the order of their keys, and which of them share a key with another."""
+    entries = entries[np.argsort(entries[:, 0].view(np.uint64))]
+    same = np.diff(entries[:, 0]) == 0
+    shared = np.zeros(len(entries), bool)
+    shared[1:] |= same
+    shared[:-1] |= same
+    return entries, shared
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Distinct rows of two columns, in their order."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(1)
+    return rows[new]
+
+
 def _ends(entries: np.ndarray) -> dict[int, np.ndarray]:
-    """Distinct entries (key, id), of each key only the smallest and the largest id; pairs of the others with these two."""
-    order = np.lexsort((entries[:, 1], entries[:, 0]))
-    entries = entries[order]
-    new = np.ones(len(entries), bool)
-    new[1:] = (np.diff(entries[:, 0]) != 0) | (np.diff(entries[:, 1]) != 0)
-    entries = entries[new]
-    at = _runs(entries[:, 0])
-    first, last = at[:-1], at[1:] - 1
-    inner = np.ones(len(entries), bool)
+    """Distinct entries (key, id), of each key only the smallest and the largest id; of three or more ids of a key, all pairs
+    of which one is the smallest or the largest."""
+    entries, shared = _by_key(entries)
+    some = _distinct(entries[shared])
+    at = _runs(some[:, 0])
+    first, last, size = at[:-1], at[1:] - 1, np.diff(at)
+    inner = np.ones(len(some), bool)
     inner[first] = inner[last] = False
-    size = np.diff(at)
-    low, high = np.repeat(entries[first, 1], size)[inner], np.repeat(entries[last, 1], size)[inner]
-    pairs = np.concatenate([np.stack([low, entries[inner, 1]], 1), np.stack([entries[inner, 1], high], 1)])
-    return {ENTRIES: entries[~inner], PAIRS: pairs, MEMBERS: entries[inner]}
+    low, high = np.repeat(some[first, 1], size)[inner], np.repeat(some[last, 1], size)[inner]
+    wide = size > 2
+    pairs = [np.stack([low, some[inner, 1]], 1), np.stack([some[inner, 1], high], 1), np.stack([some[first[wide], 1], some[last[wide], 1]], 1)]
+    left = np.concatenate([entries[~shared], some[~inner]])
+    return {ENTRIES: left[np.argsort(left[:, 0].view(np.uint64))], PAIRS: np.concatenate(pairs), MEMBERS: some[inner]}
 
 
 def _met(entries: np.ndarray, pairs: np.ndarray, members: np.ndarray) -> dict[int, np.ndarray]:
     """Pairs (a, b), a < b, of each key's members with its smallest and its largest id, and all members, of keys with several."""
-    own = _ends(entries)
-    left = own[ENTRIES]
-    at = _runs(left[:, 0])
-    two = at[:-1][np.diff(at) == 2]
-    pairs = np.concatenate([pairs, own[PAIRS], np.stack([left[two, 1], left[two + 1, 1]], 1)])
-    return {PAIRS: np.unique(pairs, axis=0), MEMBERS: np.concatenate([members, own[MEMBERS], left[two], left[two + 1]])}
+    entries, shared = _by_key(entries)
+    own = _ends(entries[shared])
+    left, again = _by_key(own[ENTRIES])
+    left = _distinct(left[again])
+    pairs = np.concatenate([pairs, own[PAIRS], np.stack([left[::2, 1], left[1::2, 1]], 1)])
+    return {PAIRS: _distinct(pairs), MEMBERS: np.concatenate([members, own[MEMBERS], left])}
 
 
 def _across(near: Near, best: bool) -> Callable[..., dict[int, np.ndarray]]:
@@ -163,7 +183,7 @@ def _across(near: Near, best: bool) -> Callable[..., dict[int, np.ndarray]]:
         entries = entries[np.argsort(entries[:, 0], kind="stable")]
         at = _runs(entries[:, 0])
         found = [p for a, b in zip(at[:-1], at[1:], strict=True) for p in of_bucket(entries[a:b])]
-        return {PAIRS: np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]), axis=0)}
+        return {PAIRS: _distinct(np.concatenate([np.zeros((0, 2), np.int64), *found]))}
 
     return run
 
@@ -174,6 +194,13 @@ _as_they_are = lambda entries: {ENTRIES: entries}
 # --------------------------------------------------------------------------- classes
 
 
+def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of different components p and q; what is in no class is one of its own."""
+    for x, c in (("a", "p"), ("b", "q")):
+        pairs = pairs.join(classes.select(F.col("id").alias(x), F.col("component").alias(c)), x, "left").withColumn(c, F.coalesce(c, x))
+    return pairs.where("p <> q")
+
+
 def linked_classes(
     keys: list[tuple[DataFrame, int]], items: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], name: str, refine: Callable[[DataFrame], DataFrame] | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -186,7 +213,8 @@ def linked_classes(
     ``verify`` takes distinct candidates (a, b), a < b, and returns the linked ones.
 
     1. Each item of a bucket is paired with the bucket's smallest and largest id: two pairs an item and key, at most.
-       Tasks do this for what they hold before they deal keys out, so of a hot key two entries a task are gathered.
+       Tasks do this for what they hold before they deal keys out, so of a hot key two entries a task are gathered. Each
+       item's pair with the smallest id is verified first, the others only where they still are of different components.
     2. Buckets whose items are of one component are closed: nothing in them can add to the classes. In the others each item
        outside of the largest component is paired with its nearest one of another component: one pair an item and key.
     3. In the buckets that still are open, all candidates across components are verified. So every pair of candidates has
@@ -222,6 +250,13 @@ def linked_classes(
         found = written(verify(pairs), f"{name}-links-{step}")
         return None if found.isEmpty() else found
 
+    def merged(classes: DataFrame, found: DataFrame, step: int | str) -> DataFrame:
+        """The classes after more links: components of the classes that the links join."""
+        joined = written(components(_between(found, classes).select(F.col("p").alias("a"), F.col("q").alias("b")), f"{name}-{step}"), f"{name}-joined-{step}")
+        old = classes.select("id", F.col("component").alias("_p")).join(joined.select(F.col("id").alias("_p"), F.col("component").alias("_q")), "_p", "left")
+        new = joined.join(classes.select("id"), "id", "left_anti")
+        return written(old.select("id", F.coalesce("_q", "_p").alias("component")).unionByName(new), f"{name}-classes-{step}")
+
     # 1
     met = [written(_by_part(_dealt(table.select("keys", "id"), _parts_of(spark, many), _ends), 2, _met), f"{name}-met") for table, many in keys]
     rows = reduce(DataFrame.unionByName, met)
@@ -231,16 +266,20 @@ def linked_classes(
     ids = members.select("id").distinct()
     info = written(thinned(items, ids, "id").join(ids, "id").dropDuplicates(["id"]), f"{name}-info")
     tried = written(candidates(pairs), f"{name}-pairs-1")
-    links = linked(tried, 1)
-    if links is None:
-        links = tried.limit(0)
-    classes = written(components(links, f"{name}-1"), f"{name}-classes-1")
+    classes = spark.createDataFrame([], "id long, component long")
+    links = tried.limit(0)
+    # each id with the smallest one it met first: most of the other pairs are then of one component
+    for step, some in (("1a", tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), ("1b", tried)):
+        found = linked(written(_between(some, classes).select("a", "b"), f"{name}-pairs-{step}"), step)
+        if found is not None:
+            links = links.unionByName(found)
+            classes = merged(classes, found, step)
 
     def still_open(classes: DataFrame, step: int) -> DataFrame:
-        """(key, id, component) of the open buckets, with the number n of their members."""
+        """(key, id, component) of the open buckets, with the number n of their members; of up to three, all pairs were tried."""
         placed = members.join(classes, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
         spans = placed.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q"), F.count("*").alias("n"))
-        spans = written(spans.where("p <> q").select("key", "n"), f"{name}-keys-{step}")
+        spans = written(spans.where("p <> q and n > 3").select("key", "n"), f"{name}-keys-{step}")
         return written(placed.join(spans, "key"), f"{name}-open-{step}")
 
     def across(left: DataFrame, fine: DataFrame, best: bool) -> DataFrame:
@@ -266,7 +305,7 @@ def linked_classes(
         found = linked(more, step)
         if found is not None:
             links = links.unionByName(found)
-            classes = written(components(links, f"{name}-{step}"), f"{name}-classes-{step}")
+            classes = merged(classes, found, step)
             left = still_open(classes, 3) if best else left
     discard(*met, info)
     return classes, links
