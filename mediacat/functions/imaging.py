@@ -53,3 +53,23 @@ def sharpness(images: DataFrame, key: str = "id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["id", "sharpness"])
 
     return images.select(F.col(key).cast("long").alias("id"), F.col("width").cast("int"), F.col("gray").cast("array<int>")).mapInArrow(run, "id long, sharpness double")
+
+
+def vector_bytes(vector: str) -> Column:
+    """A float vector as its little-endian 32-bit values, four bytes each."""
+
+    @F.pandas_udf("binary")
+    def pack(vectors):
+        return vectors.map(lambda v: np.asarray(v, "<f4").tobytes(), na_action="ignore")
+
+    return pack(vector)
+
+
+def vector_floats(data: str) -> Column:
+    """What :func:`vector_bytes` packed; a rest of less than four bytes is left out."""
+
+    @F.pandas_udf("array<float>")
+    def unpack(values):
+        return values.map(lambda b: np.frombuffer(b, "<f4", len(b) // 4), na_action="ignore")
+
+    return unpack(data)

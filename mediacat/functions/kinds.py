@@ -50,6 +50,11 @@ def day_start(ms: Column, unit: str = "DAY") -> Column:
     return F.unix_millis(F.date_trunc(unit, F.timestamp_millis(ms)))
 
 
+def in_days(ms: Column, first: Column, last: Column) -> Column:
+    """Whether a time is from the start of the day of ``first`` to the last millisecond of the day of ``last``."""
+    return ms.between(day_start(first), day_start(last + 86_400_000) - 1)
+
+
 def seconds_of(ms: Column) -> Column:
     """Whole seconds, half up."""
     return F.floor(ms / F.lit(1000.0) + F.lit(0.5))

@@ -49,6 +49,11 @@ def tokens_of(query: str) -> list[str]:
     return query.split()
 
 
+def tokens(x: str | Column) -> Column:
+    """The parts of a text between ASCII white space."""
+    return F.filter(F.split(x, r"[ \t\n\x0B\f\r]+"), lambda t: t != "")
+
+
 def mime_of(name: str | Column) -> Column:
     """Media type by extension (fixed values)."""
     ext = extension_of(name)

@@ -107,13 +107,13 @@ def best_similarity(faces: DataFrame, vectors: DataFrame) -> DataFrame:
 def sub_centroids(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Sub-centroids of each person (person_id, ord, embedding) by greedy clustering in the order of ``ord``.
 
-    A vector joins the nearest centroid if their similarity is above the threshold, which then moves to the running mean;
-    else it founds one. Sequential by definition: persons are dealt to tasks and sorted, and a task streams its rows, holding
+    A vector joins the nearest centroid (the first of equal ones) if their similarity is above the threshold; the centroid, times
+    the number of its vectors, plus the vector, brought to length 1, is the new one. Else the vector founds one. Sequential by definition: persons are dealt to tasks and sorted, and a task streams its rows, holding
     one person's centroids only, so a person of any number of faces is never gathered.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        person, sums, means, counts = None, [], [], []
+        person, means, counts = None, [], []
 
         def done() -> pd.DataFrame:
             return pd.DataFrame({"person_id": [person] * len(counts), "cluster": list(range(len(counts))), "n": counts, "centroid": [m.tolist() for m in means]})
@@ -122,19 +122,17 @@ def sub_centroids(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
             for p, v in zip(batch.person_id, batch.embedding, strict=True):
                 if p != person and counts:
                     yield done()
-                    sums, means, counts = [], [], []
+                    means, counts = [], []
                 person, v = p, np.asarray(v, np.float64)
                 near = [float(m @ v) for m in means]
                 k = int(np.argmax(near)) if near else -1
                 if near and near[k] > threshold:
-                    sums[k] = sums[k] + v
+                    moved = means[k] * counts[k] + v
+                    means[k] = moved / max(float(np.linalg.norm(moved)), 1e-9)
                     counts[k] += 1
                 else:
-                    k = len(sums)
-                    sums.append(v)
                     means.append(v)
                     counts.append(1)
-                means[k] = sums[k] / max(float(np.linalg.norm(sums[k])), 1e-9)
         if counts:
             yield done()
 
@@ -142,6 +140,13 @@ def sub_centroids(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     return dealt.mapInPandas(run, "person_id long, cluster long, n long, centroid array<double>")
 
 
+def reference_vectors(faces: DataFrame, assignments: DataFrame, anchors: DataFrame, person_id: int) -> DataFrame:
+    """Sub-centroids (vector) of one person: of their good faces by id, then of their anchors by id."""
+    own = good_faces(faces).join(assignments.where(F.col("person_id") == person_id), F.col("id") == F.col("face_id"), "left_semi").select(F.struct(F.lit(0).alias("k"), "id").alias("ord"), "embedding")
+    own = own.unionByName(anchors.where(F.col("person_id") == person_id).select(F.struct(F.lit(1).alias("k"), "id").alias("ord"), "embedding"))
+    return sub_centroids(own.withColumn("person_id", F.lit(person_id).cast("long"))).select(F.col("centroid").alias("vector"))
+
+
 def grid_clusters(geo: DataFrame, zoom: int) -> DataFrame:
     """Geotagged rows by map cell of 180 / 2^zoom degrees: mean place, count and paths' extremes."""
     cell = 180.0 / 2 ** min(max(zoom, 1), 20)

@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import day_start
 from ..functions.text import ascii_fold, extension_of
-from ..llm.shared import written
+from ..work import written
 
 #: Time buckets by which bursts are sought.
 BUCKET_MS = 6 * 3_600_000
 
 
-def bursts(images: DataFrame, gap_ms: int = 3000, bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Groups of two or more images in a row, of one folder, at most ``gap_ms`` apart, in the order of all images.
+def burst_rows(images: DataFrame, gap_ms: int = 3000, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Images (id, parent_path, date_taken) with their group: images in a row, of one folder, at most ``gap_ms`` apart, in the
+    order of all images; ``group`` is the time and id of its first image.
 
     An image of another folder in between ends a group, so order is global. Rows are dealt by fixed time buckets, not to one
     task: windows run inside a bucket, and one narrow row a bucket carries its last image and last group start to the next
-    (buckets are bounded by the time that the catalog spans). Images of unknown time (0) are in no group.
+    (buckets are bounded by the time that the catalog spans). Images of unknown time (0) are a group each.
     """
     order = F.struct("date_taken", "id")
     rows = images.select("id", "parent_path", "date_taken", F.floor(F.col("date_taken") / bucket_ms).alias("bucket"))
@@ -36,10 +37,24 @@ def bursts(images: DataFrame, gap_ms: int = 3000, bucket_ms: int = BUCKET_MS) ->
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     reach = reach.select("bucket", F.max("latest").over(running).alias("earlier"))
     rows = rows.join(reach, "bucket").withColumn("group", F.coalesce(F.max("start").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "earlier"))
-    out = rows.groupBy("group").agg(F.count("*").alias("n"), F.min("parent_path").alias("folder"), F.min("date_taken").alias("first_taken"), F.max("date_taken").alias("last_taken")).where("n >= 2")
+    return rows.select("id", "parent_path", "date_taken", "group")
+
+
+def bursts(images: DataFrame, gap_ms: int = 3000, bucket_ms: int = BUCKET_MS) -> DataFrame:
+    """Groups of two or more images (see :func:`burst_rows`)."""
+    out = burst_rows(images, gap_ms, bucket_ms).groupBy("group").agg(F.count("*").alias("n"), F.min("parent_path").alias("folder"), F.min("date_taken").alias("first_taken"), F.max("date_taken").alias("last_taken")).where("n >= 2")
     return out.select(F.col("group.id").alias("first_id"), "n", "folder", "first_taken", "last_taken")
 
 
+def sharpest(rows: DataFrame, sharpness: DataFrame) -> DataFrame:
+    """Of each burst of two or more ``rows`` (id, date_taken, group) the sharpest image, the first of equal ones, and what the
+    least sharp one has of it in per cent, cut to a whole number. An image of unknown ``sharpness`` (id, sharpness) has 0."""
+    known = rows.join(sharpness, "id", "left").withColumn("s", F.coalesce("sharpness", F.lit(0.0)))
+    out = known.groupBy("group").agg(F.count("*").alias("n"), F.max_by("id", F.struct("s", (-F.col("date_taken")).alias("t"), (-F.col("id")).alias("i"))).alias("best_id"), F.max("s").alias("most"), F.min("s").alias("least"))
+    share = F.when(F.col("most") > 0, F.floor(F.col("least") / F.col("most") * 100)).otherwise(0).cast("long")
+    return out.where("n >= 2").select(F.col("group.id").alias("first_id"), "n", "best_id", share.alias("least_percent"))
+
+
 def section_key(by: str) -> Column:
     """Key of the section in which a row is listed."""
     return {
@@ -68,10 +83,21 @@ def section_title(by: str, key: str = "section_key", now_ms: int = 0) -> Column:
 
 
 def sections(rows: DataFrame, by: str) -> DataFrame:
-    """Rows with section_key, grid_position (from 0) and section_count; listed by capture time, newest first, then id."""
-    keyed = rows.withColumn("section_key", section_key(by))
-    own = Window.partitionBy("section_key")
-    return keyed.withColumn("grid_position", F.row_number().over(own.orderBy(F.desc("date_taken"), "id")) - 1).withColumn("section_count", F.count("*").over(own))
+    """Rows with section_key, grid_position (from 0) and section_count; listed by capture time, newest first, then id.
+
+    A few sections may hold all rows, so none is one task's: places in the order of section and row, less the section's first.
+    """
+    return within(rows.withColumn("section_key", section_key(by)), "section_key", F.desc("date_taken"), "id").withColumnsRenamed({"position": "grid_position", "count": "section_count"})
+
+
+def ungrouped(rows: DataFrame) -> DataFrame:
+    """The one section of a listing that scrolls sideways, or is not to be grouped: empty key, rows by capture time."""
+    return placed(rows, F.desc("date_taken"), "id").withColumn("section_key", F.lit("")).withColumn("grid_position", F.col("place") - 1).drop("place")
+
+
+def shuffled(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
+    """Rows with their place in a random order that the seed fixes."""
+    return placed(rows.withColumn("_r", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed))))), "_r", key).drop("_r")
 
 
 def group_setting(flags: Column, show_all: bool) -> Column:
@@ -108,6 +134,13 @@ def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
     return own.join(F.broadcast(counts), "_part").withColumn("place", place).drop("_part", "_at", "_before")
 
 
+def within(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
+    """All ``rows`` with their position (from 0) inside their ``key`` and the key's count; keys may be few and large."""
+    out = placed(rows, key, *order)
+    own = out.groupBy(key).agg(F.min("place").alias("_first"), F.count("*").alias("count"))
+    return out.join(own, key).withColumn("position", F.col("place") - F.col("_first")).drop("place", "_first")
+
+
 def searched(rows: DataFrame, text: str, column: str = "filename") -> DataFrame:
     """Names containing ``text`` in any case (nothing is a wildcard); those that start with it have rank 0."""
     name, wanted = F.lower(column), text.lower()

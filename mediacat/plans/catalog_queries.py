@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import imaging, kinds, text
 from ..operators import folders, mutate, people, scan, sequences
-from ..sources.catalog import EXCLUDED, INCLUDED, NOMEDIA, PINNED, ROOT, Catalog
+from ..sources import sinks
+from ..sources.catalog import EXCLUDED, INCLUDED, NOMEDIA, PINNED, PROTECTED, ROOT, Catalog
 from ..sources.catalog_sql import sql as with_tables
+from ..streaming import ingest
+from ..work import work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,6 +32,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def also(name: str, of: str) -> None:
+    """The same query under a second name."""
+    QUERIES[name] = QUERIES[of]
+    SQL[name] = SQL[of]
+
+
 def listed(c: Catalog) -> DataFrame:
     return scan.listing(c.media, c.date_takens)
 
@@ -57,6 +66,10 @@ query("S11_groups_of_person", "SELECT g.id, g.name, count(*) AS n_members FROM g
 query("S12_provider_scan", "SELECT id, parent_path, date_taken, size, type, floor(video_duration / 1e3 + 0.5)::bigint AS seconds FROM clean")(
     lambda c: listed(c).select("id", "parent_path", "date_taken", "size", "type", kinds.seconds_of(F.col("video_duration")).cast("long").alias("seconds"))
 )
+_FOLDER_SQL = "SELECT m.id, coalesce(d.date_taken, nullif(m.date_taken, 0), m.last_modified) AS date_taken, m.type FROM media m LEFT JOIN date_takens d USING (full_path) WHERE m.deleted_ts = 0 AND m.type <> 0 AND m.size > 0 AND m.filename NOT LIKE '.%'"
+query("S13_folder_listing", f"{_FOLDER_SQL} AND m.parent_path = '{CAMERA}'")(lambda c: scan.folder_listing(c.media, c.date_takens, c.favorites, CAMERA, kinds.DEFAULT_MASK | kinds.PORTRAIT).select("id", "date_taken", "type"))
+query("S13_favorites_listing", f"{_FOLDER_SQL} AND m.full_path IN (SELECT full_path FROM favorites WHERE full_path NOT LIKE '%/.%')")(lambda c: scan.folder_listing(c.media, c.date_takens, c.favorites, scan.FAVORITES).select("id", "date_taken", "type"))
+query("S13_bin_listing", "SELECT id, date_taken, type FROM media WHERE deleted_ts <> 0 AND type <> 0 AND size > 0 AND filename NOT LIKE '.%'")(lambda c: scan.folder_listing(c.media, c.date_takens, c.favorites, scan.RECYCLE_BIN).select("id", "date_taken", "type"))
 query("S15_direct_children", f"SELECT full_path, size AS value FROM media WHERE full_path LIKE '{CAMERA}/%' AND full_path NOT LIKE '{CAMERA}/%/%' AND size <> 0")(lambda c: scan.direct_children(c.media, CAMERA, "size"))
 query("S16_modified_map", "SELECT full_path, last_modified FROM media WHERE last_modified <> 0")(lambda c: c.media.where("last_modified <> 0").select("full_path", "last_modified"))
 query("S17_newest_folders", "SELECT DISTINCT parent_path AS path FROM (SELECT * FROM media ORDER BY id DESC LIMIT 10)")(lambda c: scan.newest_folders(c.media))
@@ -64,20 +77,36 @@ query("S18_included_expanded", "SELECT DISTINCT m.parent_path AS path FROM media
     lambda c: scan.below(c.media.select(F.col("parent_path").alias("path")).distinct(), c.rows(INCLUDED, "path"))
 )
 query("S19_folders_with_media", "SELECT DISTINCT parent_path AS path FROM media WHERE type <> 0")(lambda c: c.media.where("type <> 0").select(F.col("parent_path").alias("path")).distinct())
-query("S20_marked_folders", "SELECT path, ord::int AS ord FROM nomedia")(lambda c: c.rows(NOMEDIA, "path"))
+query("S20_marked_folders", "SELECT path, last_modified FROM (SELECT path, ord * 1000 AS last_modified FROM nomedia UNION ALL SELECT parent_path, last_modified FROM media WHERE filename = '.nomedia')")(lambda c: scan.marked_folders(c.files))
 query("S21_lookup_by_id", "SELECT id, full_path FROM media WHERE id IN (SELECT face_id FROM ignored)")(lambda c: scan.at_paths(c.media, c.ignored.withColumnRenamed("face_id", "id"), "id").select("id", "full_path"))
 query("S22_image_paths", "SELECT full_path FROM media WHERE type = 1 AND deleted_ts = 0")(lambda c: c.media.where("type = 1 and deleted_ts = 0 and full_path is not null").select("full_path"))
-query("S26_show_all", "SELECT id, full_path FROM clean c WHERE NOT EXISTS (SELECT 1 FROM excluded e WHERE lower(c.parent_path) || '/' LIKE lower(e.path) || '/%')")(
-    lambda c: listed(c).join(scan.below(listed(c).select("parent_path").distinct(), c.rows(EXCLUDED, "path"), "parent_path"), "parent_path", "left_anti").select("id", "full_path")
+
+query("S26_show_all", "SELECT id, full_path FROM clean c WHERE NOT EXISTS (SELECT 1 FROM excluded e WHERE lower(c.parent_path) || '/' LIKE lower(e.path) || '/%') AND parent_path NOT IN (SELECT path FROM protected)")(
+    lambda c: scan.show_all(c.media, c.rows(EXCLUDED, "path"), c.rows(PROTECTED, "path")).select("id", "full_path")
+)
+_PEOPLE = "SELECT CASE WHEN id % 4 = 3 THEN '  ' ELSE ' ' || name || ' ' END AS name, CASE WHEN id % 5 = 4 THEN '' ELSE 'people/' || id END AS folder, face_id FROM persons JOIN assignments ON person_id = id WHERE face_id % 3 = 0"
+query("S23_manifest_crops", f"SELECT trim(name) AS name, folder, 'crop' || face_id AS crop FROM ({_PEOPLE}) WHERE trim(name) <> '' AND folder <> ''")(lambda c: scan.manifest_crops(_manifests(c)))
+query("S24_imported_favorites", "SELECT full_path, filename, parent_path FROM favorites")(
+    lambda c: scan.listed_favorites(c.favorites.select(F.col("full_path").alias("value")).unionByName(c.spark.createDataFrame([("",), ("/no/such.jpg",)], "value string")), c.media)
 )
 
+
+def _manifests(c: Catalog) -> DataFrame:
+    """A manifest of each person, as JSON text."""
+    crops = c.assignments.where("face_id % 3 = 0").groupBy(F.col("person_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list("face_id")), lambda x: F.concat(F.lit("crop"), x.cast("string"))).alias("crops"))
+    name = F.when(F.col("id") % 4 == 3, "  ").otherwise(F.concat(F.lit(" "), "name", F.lit(" ")))
+    folder = F.when(F.col("id") % 5 == 4, "").otherwise(F.concat(F.lit("people/"), F.col("id").cast("string")))
+    person = F.struct(name.alias("name"), folder.alias("folder"), "crops")
+    return c.persons.join(crops, "id").select("id", F.to_json(F.struct(F.array(person).alias("people"))).alias("value"))
+
+
 # ---------------------------------------------------------------- filters
 
 query(
     "F1_type_cascade",
     "SELECT lower(regexp_extract(filename, '[^.]*$')) AS ext, CASE WHEN lower(regexp_extract(filename, '[^.]*$')) IN ('jpg','jpeg','png','heic') THEN 1 WHEN lower(regexp_extract(filename, '[^.]*$')) = 'mp4' THEN 2 WHEN lower(regexp_extract(filename, '[^.]*$')) = 'gif' THEN 4 WHEN lower(regexp_extract(filename, '[^.]*$')) = 'dng' THEN 8 WHEN lower(regexp_extract(filename, '[^.]*$')) = 'svg' THEN 16 ELSE 0 END AS type, count(*) AS n FROM media GROUP BY 1, 2",
 )(lambda c: c.media.groupBy(text.extension_of("filename").alias("ext"), kinds.type_of("filename").alias("type")).agg(F.count("*").alias("n")))
-query("F2_type_of_added", "SELECT CASE WHEN id % 10 = 3 THEN 2 WHEN id % 10 = 4 THEN 4 WHEN id % 10 = 5 THEN 8 WHEN id % 10 = 6 THEN 16 ELSE 1 END AS type, count(*) AS n FROM media GROUP BY 1")(
+query("F2_type_of_added", "SELECT CASE WHEN lower(regexp_extract(filename, '[^.]*$')) = 'mp4' THEN 2 WHEN lower(regexp_extract(filename, '[^.]*$')) = 'gif' THEN 4 WHEN lower(regexp_extract(filename, '[^.]*$')) = 'dng' THEN 8 WHEN lower(regexp_extract(filename, '[^.]*$')) = 'svg' THEN 16 ELSE 1 END AS type, count(*) AS n FROM media GROUP BY 1")(
     lambda c: c.media.groupBy(kinds.type_of_added("filename").alias("type")).agg(F.count("*").alias("n"))
 )
 query("F3_type_mask", "SELECT id, type FROM media WHERE (type & 10) <> 0")(lambda c: c.media.where(kinds.has_type(10)).select("id", "type"))
@@ -107,6 +136,7 @@ query(
 )(lambda c: folders.marked_names(*[_folder_rules(c)[i] for i in (0, 1, 3)]))
 query("F13_good_faces", "SELECT id FROM faces WHERE score >= 0.5 AND bbox_right - bbox_left >= 15")(lambda c: people.good_faces(c.faces).select("id"))
 query("F14_time_range", "SELECT id, date_taken FROM clean WHERE date_taken BETWEEN 1704844800000 AND 1705449599999")(lambda c: listed(c).where(F.col("date_taken").between(1704844800000, 1705449599999)).select("id", "date_taken"))
+query("DT3_day_range", "SELECT id, date_taken FROM clean WHERE make_timestamp(date_taken * 1000)::date BETWEEN DATE '2024-01-10' AND DATE '2024-01-16'")(lambda c: listed(c).where(kinds.in_days(F.col("date_taken"), F.lit(1704891234567), F.lit(1705391234567))).select("id", "date_taken"))
 query("F15_slideshow", "SELECT id FROM clean WHERE type = 1 OR type = 4")(lambda c: listed(c).where(kinds.has_type(kinds.IMAGE | kinds.PORTRAIT | kinds.GIF)).select("id"))
 query("F16_name_search", "SELECT id, CASE WHEN lower(filename) LIKE 'img\\_12%' ESCAPE '\\' THEN 0 ELSE 1 END AS rank FROM media WHERE contains(lower(filename), 'img_12')")(lambda c: sequences.searched(c.media, "IMG_12").select("id", "rank"))
 query("F17_smart_albums", "SELECT 'videos' AS album, count(*) AS n FROM clean WHERE type = 2 UNION ALL SELECT 'screenshots', count(*) FROM clean WHERE lower(full_path) LIKE '%screenshots%'")(
@@ -147,9 +177,6 @@ query("J11_face_metadata", "SELECT f.id, coalesce(nullif(m.date_taken, 0), m.las
     lambda c: c.faces.join(c.media.select(F.col("full_path").alias("media_full_path"), "date_taken", "last_modified", "size"), "media_full_path", "left").select("id", F.coalesce(kinds.effective_taken(), F.lit(0)).alias("date_taken"), F.coalesce("size", F.lit(0)).alias("size"))
 )
 query("J12_map_selection", "SELECT path FROM geo WHERE has_geo AND path IN (SELECT '/geo/' || face_id FROM ignored)")(lambda c: c.geo.where("has_geo").join(c.ignored.select(F.concat(F.lit("/geo/"), F.col("face_id").cast("string")).alias("path")), "path", "left_semi").select("path"))
-query("J13_text_and_code", "SELECT o.path FROM ocr o JOIN qr q USING (path) WHERE q.qr_text <> '' AND translate(o.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the%'")(
-    lambda c: people.text_search(c.ocr, ["the"], True).join(c.qr.where("qr_text <> ''"), "path", "left_semi").select("path")
-)
 query("J13_text_and_code_whole", "SELECT o.path FROM whole_ocr o JOIN qr q USING (path) WHERE q.qr_text <> '' AND translate(o.text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the%'")(
     lambda c: people.text_search(c.whole_ocr, ["the"], True).join(c.qr.where("qr_text <> ''"), "path", "left_semi").select("path")
 )
@@ -175,12 +202,30 @@ query("J16_album_covers", "SELECT d.path, coalesce(p.ord::varchar, 'none') AS co
 query("J17_reconcile", "SELECT 'delete' AS action, full_path FROM media WHERE full_path NOT IN (SELECT full_path FROM clean) UNION ALL SELECT 'upsert', full_path FROM clean")(
     lambda c: scan.pending(c.media, listed(c)).select(F.lit("delete").alias("action"), "full_path").unionByName(listed(c).select(F.lit("upsert").alias("action"), "full_path"))
 )
-query(
-    "J18_similarity",
-    f"SELECT f.id, round(max(list_dot_product(f.embedding::double[], a.embedding::double[])), 5) AS similarity FROM ({_CANDIDATES}) f, anchors a WHERE a.person_id = 3 GROUP BY 1",
-)(
-    lambda c: people.best_similarity(people.suggestion_candidates(c.faces, c.assignments, c.ignored, c.cannot_links, 3).select("id", "embedding"), c.anchors.where("person_id = 3").select(F.col("embedding").alias("vector"))).where("similarity is not null").select("id", F.round("similarity", 5).alias("similarity"))
-)
+def _sub_centroids_sql(vectors: str) -> str:
+    """DuckDB SQL for the sub-centroids (person_id, c, n) of ``vectors`` (person_id, i from 1, e double[])."""
+    return f"""WITH RECURSIVE v AS MATERIALIZED ({vectors}), s AS (SELECT person_id, i, [e] AS cents, [1] AS ns FROM v WHERE i = 1 UNION ALL
+        SELECT person_id, i, CASE WHEN k > 0 THEN [CASE WHEN j = k THEN u ELSE cents[j] END for j in range(1, len(cents) + 1)] ELSE list_append(cents, e) END,
+          CASE WHEN k > 0 THEN [CASE WHEN j = k THEN ns[j] + 1 ELSE ns[j] END for j in range(1, len(ns) + 1)] ELSE list_append(ns, 1) END
+        FROM (SELECT *, [x / greatest(sqrt(list_sum([y * y for y in m])), 1e-9) for x in m] AS u
+          FROM (SELECT *, CASE WHEN k > 0 THEN [cents[k][d] * ns[k] + e[d] for d in range(1, len(e) + 1)] ELSE e END AS m
+            FROM (SELECT *, CASE WHEN list_max(sims) > 0.6 THEN list_position(sims, list_max(sims)) ELSE 0 END AS k
+              FROM (SELECT s.person_id, v.i, s.cents, s.ns, v.e, [list_dot_product(x, v.e) for x in s.cents] AS sims FROM s JOIN v ON v.person_id = s.person_id AND v.i = s.i + 1)))))
+      SELECT person_id, unnest(cents) AS c, unnest(ns) AS n, generate_subscripts(ns, 1) - 1 AS cluster FROM s QUALIFY i = max(i) OVER (PARTITION BY person_id)"""
+
+
+_REFERENCE = _sub_centroids_sql("""SELECT 3::bigint AS person_id, row_number() OVER (ORDER BY k, id) AS i, e FROM (SELECT 0 AS k, f.id, f.embedding::double[] AS e FROM faces f JOIN assignments a ON f.id = a.face_id AND a.person_id = 3
+    WHERE f.score >= 0.5 AND f.bbox_right - f.bbox_left >= 15 UNION ALL SELECT 1, id, embedding::double[] FROM anchors WHERE person_id = 3)""")
+_SIMILAR = f"SELECT f.id, round(max(list_dot_product(f.embedding::double[], r.c)), 5) AS similarity FROM ({_CANDIDATES}) f, ({_REFERENCE}) r GROUP BY 1"
+
+
+def _similar(c: Catalog) -> DataFrame:
+    faces = people.suggestion_candidates(c.faces, c.assignments, c.ignored, c.cannot_links, 3).select("id", "embedding")
+    vectors = people.reference_vectors(c.faces, c.assignments, c.anchors, 3)
+    return people.best_similarity(faces, vectors).where("similarity is not null").select("id", F.round("similarity", 5).alias("similarity"))
+
+
+query("J18_similarity", _SIMILAR)(_similar)
 query("J19_widgets", "SELECT p.ord::int AS widget_id, d.path, d.media_count FROM pinned p LEFT JOIN dirs d USING (path) WHERE d.path IS NOT NULL")(
     lambda c: c.rows(PINNED, "path").join(dirs(c), "path").select(F.col("ord").alias("widget_id"), "path", "media_count")
 )
@@ -220,9 +265,13 @@ query("A12_person_covers", f"SELECT id, cover_face, n_photos FROM ({_SUMMARY}) W
 query("A13_section_labels", "SELECT DISTINCT lower(regexp_extract(filename, '[^.]*$')) || ' (' || count(*) OVER (PARTITION BY lower(regexp_extract(filename, '[^.]*$'))) || ')' AS label FROM clean")(
     lambda c: sequences.sections(listed(c), "extension").select(F.concat("section_key", F.lit(" ("), F.col("section_count").cast("string"), F.lit(")")).alias("label")).distinct()
 )
-query("A14_sharpest", "SELECT media_full_path, arg_max(id, round(score * 96) * 1000000000 - id) AS best_face, min(floor(score * 100 / m))::bigint AS least_percent FROM (SELECT *, max(score) OVER (PARTITION BY media_full_path) AS m FROM faces) WHERE m > 0 GROUP BY 1")(
-    lambda c: c.faces.groupBy("media_full_path").agg(F.max_by("id", F.struct("score", (-F.col("id")).alias("i"))).alias("best_face"), F.max("score").alias("m"), F.min("score").alias("s")).where("m > 0").select("media_full_path", "best_face", F.floor(F.col("s") * 100 / F.col("m")).alias("least_percent"))
-)
+_BURSTS = """SELECT *, sum(CASE WHEN pp = parent_path AND pt > 0 AND date_taken > 0 AND date_taken - pt <= 60000 THEN 0 ELSE 1 END) OVER (ORDER BY date_taken, id) AS grp
+    FROM (SELECT *, lag(parent_path) OVER w AS pp, lag(date_taken) OVER w AS pt FROM clean WHERE type = 1 WINDOW w AS (ORDER BY date_taken, id))"""
+query(
+    "A14_sharpest",
+    f"""SELECT min_by(id, t) AS first_id, count(*) AS n, min_by(id, r) AS best_id, CASE WHEN max(s) > 0 THEN floor(min(s) / max(s) * 100)::bigint ELSE 0 END AS least_percent
+    FROM (SELECT id, grp, coalesce(sharpness, 0e0) AS s, row_number() OVER (ORDER BY date_taken, id) AS t, row_number() OVER (ORDER BY coalesce(sharpness, 0e0) DESC, date_taken, id) AS r FROM ({_BURSTS}) LEFT JOIN sharp USING (id)) GROUP BY grp HAVING count(*) >= 2""",
+)(lambda c: sequences.sharpest(sequences.burst_rows(listed(c).where("type = 1"), 60_000), c.sharpness))
 query("A15_centroids", """WITH e AS (SELECT label::bigint AS person_id, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT person_id, i, avg(x) AS x FROM e GROUP BY 1, 2)
     SELECT person_id, round(max(CASE WHEN i = 1 THEN x END) / sqrt(sum(x * x)), 5) AS first_value, count(*) AS n FROM m GROUP BY 1""")(
     lambda c: people.centroids(c.read("embeddings").withColumn("person_id", F.col("label").cast("long")), "person_id").select("person_id", F.round(F.element_at("centroid", 1), 5).alias("first_value"), F.size("centroid").cast("long").alias("n"))
@@ -245,43 +294,38 @@ query("W4_section_order", "SELECT k::varchar AS section_key, n, dense_rank() OVE
 query("W5_section_titles", f"SELECT DISTINCT CASE WHEN d = DATE '2024-01-31' THEN 'today' WHEN d = DATE '2024-01-30' THEN 'yesterday' ELSE strftime(d, '%Y-%m-%d') END AS title FROM (SELECT make_timestamp(date_taken * 1000)::date AS d FROM clean)")(
     lambda c: listed(c).select(sequences.section_key("taken_day").alias("section_key")).distinct().select(sequences.section_title("taken_day", now_ms=NOW - 1).alias("title")).distinct()
 )
-query("W6_group_setting", "SELECT * FROM (VALUES (32, -1), (1056, 1023), (2080, 2047), (2, 2)) t(flags, used)")(lambda c: c.spark.createDataFrame([(32,), (1056,), (2080,), (2,)], "flags int").select("flags", sequences.group_setting(F.col("flags"), False).alias("used")))
+_FLAGS = "CASE id % 4 WHEN 0 THEN 32 WHEN 1 THEN 1056 WHEN 2 THEN 2080 ELSE 2 END"
+query("W6_group_setting", f"SELECT id, CASE WHEN ({_FLAGS} & 32) <> 0 THEN {_FLAGS} - 33 ELSE {_FLAGS} END AS used FROM media")(
+    lambda c: c.media.select("id", sequences.group_setting(F.expr(_FLAGS), False).alias("used"))
+)
+query("W7_ungrouped", "SELECT id, '' AS section_key, row_number() OVER (ORDER BY date_taken DESC, id) - 1 AS grid_position FROM clean")(lambda c: sequences.ungrouped(listed(c).select("id", "date_taken")).select("id", "section_key", "grid_position"))
 for _by, _key in (("name", "lower(filename)"), ("size", "size"), ("taken", "date_taken")):
-    query(f"O1_sorted_by_{_by}", f"SELECT id, row_number() OVER (ORDER BY {_key} DESC, id) AS place FROM clean ORDER BY place LIMIT 100")(
-        lambda c, by=_by: sequences.sorted_media(listed(c), by, True).limit(100).select("id", F.expr(f"row_number() over (order by {({'name': 'lower(filename)', 'size': 'size', 'taken': 'date_taken'})[by]} desc, id)").cast("long").alias("place"))
-    )
     query(f"O1_sorted_by_{_by}_whole", f"SELECT id, row_number() OVER (ORDER BY {_key} DESC, id) AS place FROM clean")(
         lambda c, by=_by: sequences.placed(listed(c).select("id", sequences.sort_key(by).alias("k")), F.desc("k"), "id").select("id", "place")
     )
 query("O2_custom_order", f"SELECT path, CASE WHEN path = '{PINNED[0]}' THEN 1 WHEN path = '{PINNED[1]}' THEN 2 ELSE 1073741824 END::bigint AS rank FROM dirs")(lambda c: folders.custom_order(dirs(c), "|||".join(PINNED)))
 query("O3_pinned_first", "SELECT path, CASE WHEN path IN (SELECT path FROM pinned) THEN 0 ELSE 1 END AS pin_rank, media_count AS sort_key FROM dirs")(lambda c: folders.ordered(dirs(c), "count", pinned=c.rows(PINNED, "path")).select("path", "pin_rank", "sort_key"))
-query("O4_sorted_faces", "SELECT id, round(score, 6) AS score FROM faces ORDER BY score DESC, id DESC LIMIT 50")(lambda c: sequences.sorted_faces(c.faces, "score", True).limit(50).select("id", F.round("score", 6).alias("score")))
 query("O4_sorted_faces_whole", "SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, id DESC) AS place FROM faces")(
     lambda c: sequences.placed(c.faces.select("id", "score"), F.desc("score"), F.desc("id")).select("id", F.round("score", 6).alias("score"), "place")
 )
-query("O5_persons_by_faces", f"SELECT id, n_faces, row_number() OVER (ORDER BY n_faces DESC, lower(name)) AS place FROM ({_SUMMARY})")(
-    lambda c: people.person_summary(c.persons, c.assignments, c.faces).select("id", "n_faces", F.expr("row_number() over (order by n_faces desc, lower(name))").cast("long").alias("place"))
-)
-query("O6_natural_order", "SELECT id, row_number() OVER (ORDER BY CASE WHEN filename LIKE '.%' THEN 0 ELSE 1 END, id) AS place FROM media ORDER BY place LIMIT 100")(
-    lambda c: c.media.withColumn("k", text.natural_key("filename")).orderBy("k", "id").limit(100).select("id", F.expr("row_number() over (order by k, id)").cast("long").alias("place"))
+query("O5_persons_by_faces", f"SELECT id, n_faces, row_number() OVER (ORDER BY n_faces DESC, lower(name), id) AS place FROM ({_SUMMARY})")(
+    lambda c: sequences.placed(people.person_summary(c.persons, c.assignments, c.faces).select("id", "n_faces", F.lower("name").alias("k")), F.desc("n_faces"), "k", "id").select("id", "n_faces", "place")
 )
+query("O8_random", "SELECT id, row_number() OVER (ORDER BY md5(id || '-7'), id) AS place FROM clean")(lambda c: sequences.shuffled(listed(c).select("id"), 7))
 query("O6_natural_order_whole", "SELECT id, row_number() OVER (ORDER BY CASE WHEN filename LIKE '.%' THEN 0 ELSE 1 END, id) AS place FROM media")(
     lambda c: sequences.placed(c.media.select("id", text.natural_key("filename").alias("k")), "k", "id").select("id", "place")
 )
 query("O7_unlabelled_cap", "SELECT id FROM faces WHERE score >= 0.5 AND bbox_right - bbox_left >= 15 AND id NOT IN (SELECT face_id FROM assignments) AND id NOT IN (SELECT face_id FROM ignored) ORDER BY score DESC, id LIMIT 1500")(lambda c: people.unlabelled(c.faces, c.assignments, c.ignored).orderBy(F.desc("score"), "id").limit(1500).select("id"))
-query("O9_search_order", "SELECT id, date_taken FROM clean WHERE contains(lower(filename), '77') ORDER BY date_taken DESC, id LIMIT 200")(lambda c: sequences.searched(listed(c), "77").orderBy(F.desc("date_taken"), "id").limit(200).select("id", "date_taken"))
 query("O9_search_order_whole", "SELECT id, date_taken, row_number() OVER (ORDER BY date_taken DESC, id) AS place FROM clean WHERE contains(lower(filename), '77')")(
     lambda c: sequences.placed(sequences.searched(listed(c), "77").select("id", "date_taken"), F.desc("date_taken"), "id").select("id", "date_taken", "place")
 )
 query("O10_sync_list", "SELECT id, CASE WHEN type = 2 THEN 1 ELSE 0 END AS part, row_number() OVER (PARTITION BY type = 2 ORDER BY last_modified DESC, id) AS place FROM clean WHERE type IN (1, 2)")(
-    lambda c: listed(c).where("type in (1, 2)").select("id", (F.col("type") == 2).cast("int").alias("part"), F.expr("row_number() over (partition by type = 2 order by last_modified desc, id)").cast("long").alias("place"))
+    lambda c: sequences.within(listed(c).where("type in (1, 2)").select("id", (F.col("type") == 2).cast("int").alias("part"), "last_modified"), "part", F.desc("last_modified"), "id").select("id", "part", (F.col("position") + 1).alias("place"))
 )
 
 # ---------------------------------------------------------------- sets, scalars
 
 _FOLD = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-query("U1_text_any", f"SELECT path FROM ocr WHERE {_FOLD} LIKE '%license%' OR {_FOLD} LIKE '%th_the%'")(lambda c: people.text_search(c.ocr, ["License", "th_the"], False).select("path"))
-query("U2_text_all", f"SELECT path FROM ocr WHERE {_FOLD} LIKE '%license%' AND {_FOLD} LIKE '%the%'")(lambda c: people.text_search(c.ocr, ["LICENSE", "the"], True).select("path"))
 query("U1_text_any_whole", f"SELECT path FROM whole_ocr WHERE {_FOLD} LIKE '%license%' OR {_FOLD} LIKE '%th_the%'")(lambda c: people.text_search(c.whole_ocr, ["License", "th_the"], False).select("path"))
 query("U2_text_all_whole", f"SELECT path FROM whole_ocr WHERE {_FOLD} LIKE '%license%' AND {_FOLD} LIKE '%the%'")(lambda c: people.text_search(c.whole_ocr, ["LICENSE", "the"], True).select("path"))
 query("U3_folders_to_scan", "SELECT path FROM (SELECT DISTINCT parent_path AS path FROM (SELECT * FROM media ORDER BY id DESC LIMIT 10) UNION SELECT path FROM included UNION SELECT path FROM pinned)")(
@@ -294,37 +338,38 @@ query("U5_ever_shown", "SELECT path FROM pinned UNION SELECT d.path FROM dirs d
     ).distinct()
 )
 query("U6_temp_folder", "SELECT '/temp' AS path, -1::bigint AS n UNION ALL SELECT path, media_count FROM dirs")(lambda c: c.spark.createDataFrame([("/temp", -1)], "path string, n long").unionByName(dirs(c).select("path", F.col("media_count").alias("n"))))
-query("X1_unaccented", "SELECT doc_id, md5(trim(strip_accents(lower(substr(text, 1, 200))), ' ' || chr(10) || chr(13) || chr(9))) AS digest FROM documents")(lambda c: c.read("documents").select("doc_id", F.md5(text.unaccented(F.substring("text", 1, 200))).alias("digest")))
 query("X1_unaccented_whole", "SELECT doc_id, md5(trim(strip_accents(lower(text)), ' ' || chr(10) || chr(13) || chr(9))) AS digest FROM documents")(lambda c: c.read("documents").select("doc_id", F.md5(text.unaccented("text")).alias("digest")))
 query("X2_path_parts", "SELECT id, regexp_replace(full_path, '/[^/]*$', '') AS parent, regexp_extract(full_path, '[^/]*$') AS name, lower(regexp_extract(filename, '[^.]*$')) AS ext FROM media")(
     lambda c: c.media.select("id", text.parent_of("full_path").alias("parent"), text.name_of("full_path").alias("name"), text.extension_of("filename").alias("ext"))
 )
-query("X3_wildcards", f"SELECT path FROM ocr WHERE {_FOLD} LIKE '%th%er%'")(lambda c: c.ocr.where(text.like_pattern("text", "Th%eR")).select("path"))
 query("X3_wildcards_whole", f"SELECT path FROM whole_ocr WHERE {_FOLD} LIKE '%th%er%'")(lambda c: c.whole_ocr.where(text.like_pattern("text", "Th%eR")).select("path"))
+query("X4_tokens", r"SELECT doc_id, len(t) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, [x for x in regexp_split_to_array(text, '[ \t\n\x0B\f\r]+') if x <> ''] AS t FROM documents)")(
+    lambda c: c.read("documents").withColumn("t", text.tokens("text")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+)
+query("X5_index_cuts", "SELECT 'text' AS kind, path, md5(substr(text, 1, 8000)) AS digest FROM whole_ocr UNION ALL SELECT 'code', path, md5(substr(qr_text, 1, 4000)) FROM qr")(
+    lambda c: c.ocr.select(F.lit("text").alias("kind"), "path", F.md5("text").alias("digest")).unionByName(c.qr.select(F.lit("code").alias("kind"), "path", F.md5(F.substring("qr_text", 1, 4000)).alias("digest")))
+)
 query("X6_hidden_names", "SELECT id, CASE WHEN filename LIKE '.%' THEN filename ELSE '.' || filename END AS hidden, CASE WHEN filename LIKE '.%' THEN substr(filename, 2) ELSE filename END AS unhidden FROM media")(lambda c: c.media.select("id", text.hidden("filename").alias("hidden"), text.unhidden("filename").alias("unhidden")))
 query("X7_bin_paths", "SELECT id, 'recycle_bin' || full_path AS bin_path FROM media WHERE deleted_ts <> 0")(lambda c: c.media.where("deleted_ts <> 0").select("id", F.concat(F.lit(mutate.BIN), "full_path").alias("bin_path")))
-query("X8_mime", "SELECT mime, count(*) AS n FROM (SELECT CASE WHEN id % 10 IN (0, 1, 7) THEN 'image/jpeg' WHEN id % 10 = 2 THEN 'image/png' WHEN id % 10 = 3 THEN 'video/mp4' WHEN id % 10 = 4 THEN 'image/gif' WHEN id % 10 = 9 THEN 'image/heic' ELSE 'application/octet-stream' END AS mime FROM media) GROUP BY 1")(lambda c: c.media.groupBy(text.mime_of("filename").alias("mime")).agg(F.count("*").alias("n")))
+query("X8_mime", "SELECT CASE WHEN lower(regexp_extract(filename, '[^.]*$')) IN ('jpg', 'jpeg') THEN 'image/jpeg' WHEN lower(regexp_extract(filename, '[^.]*$')) IN ('png', 'gif', 'heic') THEN 'image/' || lower(regexp_extract(filename, '[^.]*$')) WHEN lower(regexp_extract(filename, '[^.]*$')) = 'mp4' THEN 'video/mp4' ELSE 'application/octet-stream' END AS mime, count(*) AS n FROM media GROUP BY 1")(lambda c: c.media.groupBy(text.mime_of("filename").alias("mime")).agg(F.count("*").alias("n")))
 query("X9_html_escape", "SELECT page_id, md5(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS digest FROM pages")(lambda c: c.read("pages").select("page_id", F.md5(text.html_escaped("html")).alias("digest")))
 query("X10_ancestors", "SELECT path, array_to_string(list_reverse([array_to_string((string_split(path, '/'))[1:i], '/') for i in range(2, len(string_split(path, '/')) + 1)]), ',') AS above FROM dirs")(lambda c: dirs(c).select("path", F.array_join(F.reverse(text.ancestors("path")), ",").alias("above")))
 query("X11_signature", "SELECT id, full_path || '-' || last_modified || '-' || size AS signature FROM media")(lambda c: c.media.select("id", F.concat_ws("-", "full_path", "last_modified", "size").alias("signature")))
 query("X12_location", "SELECT count(*) AS n, CASE WHEN full_path LIKE '/storage/emulated/%' THEN 1 WHEN full_path LIKE 'otg:/%' THEN 3 ELSE 2 END AS location FROM media GROUP BY 2")(lambda c: c.media.groupBy(kinds.location_of("full_path").alias("location")).agg(F.count("*").alias("n")))
-query("M3_dot_products", "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 5) AS dot FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id < 10")(
-    lambda c: c.read("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")).join(c.read("embeddings").where("vec_id < 10").select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))).select("a", "b", F.round(people.dot("x", "y"), 5).alias("dot"))
-)
 query("M3_dot_products_whole", """WITH e AS (SELECT label, unnest(embedding)::double AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY 1, 2),
     l AS (SELECT label, sqrt(sum(x * x)) AS n FROM m GROUP BY 1), k AS (SELECT label, list(x / greatest(n, 1e-9) ORDER BY i) AS c FROM m JOIN l USING (label) GROUP BY 1)
     SELECT vec_id, label, round(list_dot_product(embedding::double[], c), 5) AS dot FROM embeddings JOIN k USING (label)""")(
     lambda c: c.read("embeddings").join(people.centroids(c.read("embeddings"), "label"), "label").select("vec_id", "label", F.round(people.dot("embedding", "centroid"), 5).alias("dot"))
 )
 query("M4_unit_vectors", "SELECT vec_id, round(embedding[1]::double / sqrt(list_sum([x::double * x::double for x in embedding])), 5) AS first_value FROM embeddings")(lambda c: c.read("embeddings").select("vec_id", F.round(F.element_at(people.unit("embedding"), 1), 5).alias("first_value")))
-query(
-    "V4_suggestions",
-    f"SELECT id, similarity FROM (SELECT f.id, round(max(list_dot_product(f.embedding::double[], a.embedding::double[])), 5) AS similarity FROM ({_CANDIDATES}) f, anchors a WHERE a.person_id = 3 GROUP BY 1) WHERE similarity >= 0.2 ORDER BY similarity DESC, id LIMIT 300",
-)(
-    lambda c: people.best_similarity(people.suggestion_candidates(c.faces, c.assignments, c.ignored, c.cannot_links, 3).select("id", "embedding"), c.anchors.where("person_id = 3").select(F.col("embedding").alias("vector")))
-    .select("id", F.round("similarity", 5).alias("similarity")).where("similarity >= 0.2").orderBy(F.desc("similarity"), "id").limit(300)
-)
-query("V3_sub_centroids")(lambda c: people.sub_centroids(c.assignments.join(c.faces, c.faces["id"] == c.assignments["face_id"]).select("person_id", F.col("id").alias("ord"), "embedding")).select("person_id", "cluster", "n"))
+query("V4_suggestions", f"SELECT id, similarity FROM ({_SIMILAR}) WHERE similarity >= 0.2 ORDER BY similarity DESC, id LIMIT 300")(lambda c: _similar(c).where("similarity >= 0.2").orderBy(F.desc("similarity"), "id").limit(300))
+query("V3_sub_centroids", "SELECT person_id, cluster, n::bigint AS n FROM (" + _sub_centroids_sql("SELECT a.person_id, row_number() OVER (PARTITION BY a.person_id ORDER BY f.id) AS i, f.embedding::double[] AS e FROM assignments a JOIN faces f ON f.id = a.face_id") + ")")(
+    lambda c: people.sub_centroids(c.assignments.join(c.faces, c.faces["id"] == c.assignments["face_id"]).select("person_id", F.col("id").alias("ord"), "embedding")).select("person_id", "cluster", "n")
+)
+query("N1_vector_bytes")(lambda c: c.read("embeddings").select("vec_id", F.hex(imaging.vector_bytes("embedding")).alias("bytes")))
+
+for _name in [n for n in QUERIES if n.endswith("_whole")]:
+    also(_name.removesuffix("_whole"), _name)
 
 # ---------------------------------------------------------------- images
 
@@ -365,12 +410,42 @@ query("D5_insert", "SELECT id, name FROM persons UNION ALL SELECT (SELECT max(id
 query("D6_to_bin", f"SELECT id, CASE WHEN type = 4 AND deleted_ts = 0 THEN 'recycle_bin' || full_path ELSE full_path END AS full_path, CASE WHEN type = 4 AND deleted_ts = 0 THEN {NOW} ELSE deleted_ts END AS deleted_ts FROM media")(lambda c: mutate.to_bin(c.media, F.col("type") == 4, NOW).select("id", "full_path", "deleted_ts"))
 query("D7_from_bin", "SELECT id, full_path, 0::bigint AS deleted_ts FROM media WHERE deleted_ts <> 0 OR type = 4")(lambda c: mutate.from_bin(mutate.to_bin(c.media, F.col("type") == 4, NOW), F.lit(True)).where("id % 29 = 0 or type = 4").select("id", "full_path", "deleted_ts"))
 query("D8_expired", f"SELECT id FROM media WHERE deleted_ts = 0 OR deleted_ts >= {NOW - 15 * 86_400_000}")(lambda c: mutate.without_expired(c.media, NOW, 15 * 86_400_000).select("id"))
-query("D9_merge_persons", "SELECT face_id, CASE WHEN person_id = 2 THEN 5 ELSE person_id END::bigint AS person_id FROM assignments")(lambda c: mutate.merged_persons(c.assignments, c.cannot_links, c.persons, 2, 5)[0].select("face_id", "person_id"))
-query("D10_delete_person", "SELECT face_id FROM assignments WHERE person_id <> 4")(lambda c: mutate.deleted(c.assignments, F.col("person_id") == 4).select("face_id"))
+query("D7_restore_collisions", "SELECT id, full_path FROM media WHERE type = 4 UNION ALL SELECT id + 1000000, regexp_replace(full_path, '\\.[^.]*$', '') || '_1.' || regexp_extract(full_path, '[^.]*$') FROM media WHERE type = 4")(
+    lambda c: mutate.from_bin(mutate.to_bin(c.media.where("type = 4").withColumn("deleted_ts", F.lit(0).cast("long")).withColumn("id", F.col("id") + 1_000_000), F.lit(True), NOW).unionByName(c.media.where("type = 4").withColumn("deleted_ts", F.lit(0).cast("long"))), F.lit(True)).select("id", "full_path")
+)
+
+
+def _kinds_of(**tables: DataFrame) -> DataFrame:
+    """(kind, id, person_id) of several tables, to compare them in one."""
+    out = None
+    for kind, rows in tables.items():
+        own = rows.select(F.lit(kind).alias("kind"), F.col("id" if "id" in rows.columns else "face_id").cast("long").alias("id"), F.col("person_id" if "person_id" in rows.columns else "id").cast("long").alias("person_id"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+query("D9_merge_persons", """SELECT 'assignments' AS kind, face_id AS id, CASE WHEN person_id = 2 THEN 5 ELSE person_id END::bigint AS person_id FROM assignments
+    UNION ALL SELECT DISTINCT 'cannot', face_id, CASE WHEN person_id = 2 THEN 5 ELSE person_id END::bigint FROM cannot_links UNION ALL SELECT 'persons', id, id FROM persons WHERE id <> 2""")(
+    lambda c: _kinds_of(**dict(zip(("assignments", "cannot", "persons"), mutate.merged_persons(c.assignments, c.cannot_links, c.persons, 2, 5), strict=True)))
+)
+query("D10_delete_person", """SELECT 'assignments' AS kind, face_id AS id, person_id FROM assignments WHERE person_id <> 4 UNION ALL SELECT 'cannot', face_id, person_id FROM cannot_links WHERE person_id <> 4
+    UNION ALL SELECT 'anchors', id, person_id FROM anchors WHERE person_id <> 4 UNION ALL SELECT 'persons', id, id FROM persons WHERE id <> 4""")(
+    lambda c: _kinds_of(**dict(zip(("assignments", "cannot", "anchors", "persons"), mutate.deleted_person(c.assignments, c.cannot_links, c.anchors, c.persons, 4), strict=True)))
+)
 query("D11_assign_ignored", "SELECT face_id, 7::bigint AS person_id FROM ignored UNION ALL SELECT face_id, person_id FROM assignments WHERE face_id NOT IN (SELECT face_id FROM ignored)")(
     lambda c: mutate.upsert(c.assignments.select("face_id", "person_id"), c.ignored.withColumn("person_id", F.lit(7)), "face_id")
 )
-query("D12_not_this_person", "SELECT face_id, person_id FROM cannot_links UNION SELECT face_id, person_id FROM assignments WHERE face_id = 4 AND NOT is_manual")(lambda c: mutate.not_this_person(c.assignments, c.cannot_links, 4, c.assignments.where("face_id = 4").first()["person_id"])[1])
+query("D12_not_this_person", "SELECT face_id, person_id FROM cannot_links UNION SELECT face_id, person_id FROM assignments WHERE face_id % 12 = 4 AND NOT is_manual")(
+    lambda c: mutate.rejected(c.assignments, c.cannot_links, c.assignments.where("face_id % 12 = 4"))[1]
+)
+query("D14_manifest_import", """SELECT id, name FROM persons UNION ALL SELECT (SELECT max(id) FROM persons) + row_number() OVER (ORDER BY n_name), n_name FROM nation
+    WHERE n_nationkey % 6 <> 5 AND n_nationkey % 3 <> 1 AND n_name NOT IN (SELECT name FROM persons)""")(
+    lambda c: mutate.imported_people(
+        c.persons,
+        c.read("nation").select(F.concat(F.lit("h"), (F.col("n_nationkey") % 3).cast("string")).alias("hash"), F.when(F.col("n_nationkey") % 6 == 5, " ").otherwise(F.concat("n_name", F.lit(" "))).alias("name"), F.lit("people").alias("folder")),
+        c.spark.createDataFrame([("h1",)], "hash string"),
+    )
+)
 query("D13_capture_time_fix", "SELECT m.id, coalesce(d.date_taken, m.date_taken) AS date_taken FROM media m LEFT JOIN date_takens d USING (full_path)")(
     lambda c: c.media.join(c.date_takens.select("full_path", F.col("date_taken").alias("d")), "full_path", "left").select("id", F.coalesce("d", "date_taken").alias("date_taken"))
 )
@@ -378,3 +453,38 @@ query("D15_move", f"SELECT id, full_path, filename, parent_path FROM media WHERE
     lambda c: mutate.moved(c.media, c.media.where(F.col("parent_path") == CAMERA).select(F.col("full_path").alias("old_key"), F.concat(F.lit("/moved/"), "filename").alias("new_key"))).select("id", "full_path", "filename", "parent_path")
 )
 query("D16_clear_favorites", "SELECT id, false AS is_favorite FROM media")(lambda c: mutate.updated(c.media, F.lit(True), is_favorite=F.lit(False)).select("id", "is_favorite"))
+
+# ---------------------------------------------------------------- what leaves the catalog
+
+query("Z1_listing_json", "SELECT to_json({'id': id, 'relpath': parent_path, 'name': filename, 'size': size, 'mtime': last_modified, 'bucket': regexp_extract(parent_path, '[^/]*$'), 'mime': CASE " + " ".join(f"WHEN lower(regexp_extract(filename, '[^.]*$')) = '{e}' THEN '{m}'" for e, m in (("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("png", "image/png"), ("gif", "image/gif"), ("heic", "image/heic"), ("mp4", "video/mp4"))) + " ELSE 'application/octet-stream' END})::varchar AS value FROM clean")(
+    lambda c: sinks.listing_json(listed(c))
+)
+query("Z2_index_page", """SELECT '<li><a href="/api/file?id=' || id || '">' || replace(replace(replace(filename, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</a></li>' AS value FROM (SELECT * FROM clean ORDER BY last_modified DESC, id DESC LIMIT 2000)""")(lambda c: sinks.index_html(listed(c)))
+query("Z3_favorites_lines", "SELECT full_path AS value FROM favorites")(lambda c: sinks.favorites_lines(c.favorites))
+query("Z5_new_files", "SELECT id, full_path FROM media UNION ALL SELECT id + 1000000, regexp_replace(full_path, '\\.[^.]*$', '') || '_1.' || regexp_extract(full_path, '[^.]*$') FROM media WHERE id % 9 = 0")(
+    lambda c: sinks.appended(c.media, c.media.where("id % 9 = 0").withColumn("id", F.col("id") + 1_000_000)).select("id", "full_path")
+)
+query("Z6_write_back", "SELECT parent_path AS path, count(*) AS media_count FROM clean GROUP BY 1 UNION ALL SELECT DISTINCT parent_path || '/old', 0::bigint FROM media")(
+    lambda c: mutate.upsert(c.media.select(F.concat("parent_path", F.lit("/old")).alias("path")).unionByName(c.media.select(F.col("parent_path").alias("path"))).distinct().withColumn("media_count", F.lit(0).cast("long")), dirs(c), "path")
+)
+
+# ---------------------------------------------------------------- streams
+
+
+@query("ST1_index_stream", "SELECT id, lower(regexp_extract(filename, '[^.]*$')) AS ext FROM media")
+def _indexed(c: Catalog) -> DataFrame:
+    """An indexer that runs over the rows of the event files once."""
+    out, check = (work_dir(c.spark, n) for n in ("indexed", "indexer"))
+    ingest.index_stream(c.streamed().media, lambda rows: rows.select("id", text.extension_of("filename").alias("ext")), out, check).awaitTermination()
+    return c.spark.read.schema("id long, ext string").parquet(out)
+
+
+@query("ST2_upsert_stream", "SELECT id, full_path, size FROM media")
+def _upserted(c: Catalog) -> DataFrame:
+    """The media table after the event files were upserted."""
+    table = ingest.VersionedTable(c.spark, work_dir(c.spark, "media-versions"), c.media.schema)
+    ingest.upsert_stream(c.streamed().media, table, work_dir(c.spark, "media-stream")).awaitTermination()
+    return table.read().select("id", "full_path", "size")
+
+
+query("ST3_new_rows", "SELECT id FROM media WHERE id > (SELECT max(id) FROM media) - 100")(lambda c: ingest.new_since(c.media, c.media.agg(F.max("id")).first()[0] - 100).select("id"))

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import imaging
 from ..functions.kinds import type_of
 
 ROOT = "/storage/emulated/0/"
@@ -14,6 +15,7 @@ FOLDERS = ("DCIM/Camera", "Pictures/Screenshots", "Download", "WhatsApp/Media/.S
 EXTENSIONS = (".jpg", ".JPG", ".png", ".mp4", ".gif", ".dng", ".svg", ".jpeg", ".txt", ".heic")
 INCLUDED = (f"{ROOT}WhatsApp/Media/.Statuses/click", f"{ROOT}pictures/screenshots")
 EXCLUDED = (f"{ROOT}Download", f"{ROOT}Pictures/Trip/view")
+PROTECTED = (f"{ROOT}DCIM/Camera/click", f"{ROOT}pictures/screenshots/view")
 NOMEDIA = (f"{ROOT}Android/data", f"{ROOT}Pictures/Screenshots/purchase")
 PINNED = (f"{ROOT}Pictures/Trip/click", f"{ROOT}DCIM/Camera/view")
 
@@ -25,11 +27,22 @@ def _pick(values: tuple, n) -> F.Column:
 class Catalog:
     """The tables of one data folder; each is a lazy DataFrame."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, stream: bool = False):
+        self.spark, self.sf_dir, self.stream = spark, sf_dir, stream
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        rows = self.spark.read.parquet(path)
+        if not self.stream:
+            return rows
+        source = self.spark.readStream.schema(rows.schema)
+        if any(f.endswith(f"/{name}.parquet") for f in rows.inputFiles()):  # one file; a stream reads folders
+            return source.option("pathGlobFilter", f"{name}.parquet").parquet(self.sf_dir)
+        return source.parquet(path)
+
+    def streamed(self) -> Catalog:
+        """The same tables as streams of the files that there are and that come."""
+        return Catalog(self.spark, self.sf_dir, stream=True)
 
     def rows(self, values: tuple, column: str) -> DataFrame:
         return self.spark.createDataFrame([(v, i) for i, v in enumerate(values)], f"{column} string, ord int")
@@ -55,6 +68,12 @@ class Catalog:
             i.alias("media_store_id"),
         )
 
+    @cached_property
+    def files(self) -> DataFrame:
+        """(full_path, last_modified) of the media and of a marker file in each marked folder."""
+        marks = self.rows(NOMEDIA, "path").select(F.concat("path", F.lit("/.nomedia")).alias("full_path"), (F.col("ord") * 1000).cast("long").alias("last_modified"))
+        return self.media.select("full_path", "last_modified").unionByName(marks)
+
     @cached_property
     def date_takens(self) -> DataFrame:
         return self.media.where("id % 7 = 0").select("full_path", "filename", "parent_path", (F.col("last_modified") - (F.col("id") % 3600) * 1000 + 5000).alias("date_taken"), "last_modified")
@@ -121,6 +140,12 @@ class Catalog:
         """Recognised texts without the cut of the index."""
         return self.read("documents").select(F.concat(F.lit("/ocr/"), F.col("doc_id").cast("string")).alias("path"), "text")
 
+    @cached_property
+    def sharpness(self) -> DataFrame:
+        """(id, sharpness) of the media of which a vector is taken for the pixels."""
+        gray = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 100).cast("int"))
+        return imaging.sharpness(self.read("embeddings").select(F.col("vec_id").alias("id"), F.lit(8).alias("width"), gray.alias("gray")))
+
     @cached_property
     def qr(self) -> DataFrame:
         return self.read("pages").select(F.concat(F.lit("/ocr/"), F.col("page_id").cast("string")).alias("path"), F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise("").alias("qr_text"))

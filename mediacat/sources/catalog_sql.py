@@ -40,6 +40,10 @@ TABLES = {
     "included": _values(f"{_P}WhatsApp/Media/.Statuses/click", f"{_P}pictures/screenshots"),
     "excluded": _values(f"{_P}Download", f"{_P}Pictures/Trip/view"),
     "nomedia": _values(f"{_P}Android/data", f"{_P}Pictures/Screenshots/purchase"),
+    "protected": _values(f"{_P}DCIM/Camera/click", f"{_P}pictures/screenshots/view"),
+    "sharp": """SELECT id, avg(e::double * e) - avg(e::double) * avg(e::double) AS sharpness FROM (
+        SELECT id, unnest(flatten([[g[8*y+x] + g[8*y+x+2] + g[8*(y-1)+x+1] + g[8*(y+1)+x+1] - 4*g[8*y+x+1] for x in range(1, 7)] for y in range(1, 7)])) AS e
+        FROM (SELECT vec_id AS id, [floor((x::double + 1) * 100)::int for x in embedding] AS g FROM embeddings)) GROUP BY 1""",
     "pinned": _values(f"{_P}Pictures/Trip/click", f"{_P}DCIM/Camera/view"),
     # live, visible rows with their effective capture time
     "clean": """SELECT m.* EXCLUDE (date_taken), coalesce(d.date_taken, nullif(m.date_taken, 0), m.last_modified) AS date_taken FROM media m LEFT JOIN date_takens d USING (full_path)

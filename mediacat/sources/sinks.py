@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import html_escaped, mime_of, name_of, parent_of
+from ..functions.text import html_escaped, mime_of, name_of
+from ..operators.mutate import freed
 
 #: Items that an index page shows.
 PAGE_ITEMS = 2000
@@ -23,16 +24,16 @@ def index_html(media: DataFrame, items: int = PAGE_ITEMS) -> DataFrame:
     return newest.select(F.concat(F.lit('<li><a href="/api/file?id='), F.col("id").cast("string"), F.lit('">'), html_escaped("filename"), F.lit("</a></li>")).alias("value"))
 
 
+def favorites_lines(favorites: DataFrame) -> DataFrame:
+    """One path a line."""
+    return favorites.select(F.col("full_path").alias("value"))
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").text(path)
 
 
 def appended(media: DataFrame, new: DataFrame) -> DataFrame:
     """New files under names that are free: a taken name gets a number before its extension, and nothing is overwritten."""
-    taken = media.select("full_path", F.lit(True).alias("_t")).distinct()
-    stem = F.regexp_replace("filename", r"(\.[^.]*)?$", "")
-    ext = F.regexp_extract("filename", r"(\.[^.]*)$", 1)
-    free = new.join(taken, "full_path", "left")
-    name = F.when(F.col("_t"), F.concat(stem, F.lit("_"), F.col("id").cast("string"), ext)).otherwise(F.col("filename"))
-    fresh = free.withColumn("filename", name).withColumn("full_path", F.concat(parent_of("full_path"), F.lit("/"), "filename"))
-    return media.unionByName(fresh.select(media.columns))
+    fresh = freed(new, media)
+    return media.unionByName(fresh.withColumn("filename", name_of("full_path")).select(media.columns))

@@ -145,7 +145,7 @@ def test_imports_and_exports(spark, tmp_path):
     assert json.loads(sinks.listing_json(m.where("id = 2")).first().value) == {"id": 2, "relpath": "/a", "name": "z.mp4", "size": 5, "mtime": 6, "bucket": "a", "mime": "video/mp4"}
     assert [r.value for r in sinks.index_html(m, 1).collect()] == ['<li><a href="/api/file?id=2">z.mp4</a></li>'] and "x&amp;&lt;y" in sinks.index_html(m).collect()[1].value
     new = m.where("id = 2").withColumn("id", F.lit(9).cast("long"))
-    assert {r.full_path for r in sinks.appended(m, new).collect()} == {"/a/x&<y.jpg", "/a/z.mp4", "/a/z_9.mp4"}
+    assert {r.full_path for r in sinks.appended(m, new).collect()} == {"/a/x&<y.jpg", "/a/z.mp4", "/a/z_1.mp4"}
 
 
 def test_capture_times(spark):
@@ -163,3 +163,60 @@ def test_sample_factor_and_sharpness(spark):
     assert [r[0] for r in df.select(imaging.sample_factor("w", "h", 1024)).collect()] == [1, 2, 4 if 2050 // 2 > 1024 else 2, None, 16 if 9000 // 8 > 1024 else 8]
     images = spark.createDataFrame([(1, 3, [0, 0, 0, 0, 9, 0, 0, 0, 0]), (2, 2, [1, 2, 3, 4]), (3, None, None), (4, 4, [0, 0, 0, 0, 0, 1, 0, 0, 0, 0, 0, 0])], "id long, width int, gray array<int>")
     assert {r.id: r.sharpness for r in imaging.sharpness(images).collect()} == {1: 0.0, 2: 0.0, 3: 0.0, 4: 6.25}
+
+
+def test_null_keys_are_like_no_other(spark):
+    old = spark.createDataFrame([(None, 1), ("a", 2)], "k string, v int")
+    new = spark.createDataFrame([(None, 3), (None, 4), ("a", 5)], "k string, v int")
+    assert sorted(map(tuple, mutate.upsert(old, new, "k").collect()), key=str) == sorted([(None, 1), (None, 3), (None, 4), ("a", 5)], key=str)
+
+
+def test_restored_rows_get_free_names(spark):
+    rows = [("recycle_bin/a/x.jpg", 5, 1), ("/a/x.jpg", 0, 2), ("/a/x_1.jpg", 0, 3), ("recycle_bin/a/x_2.jpg", 6, 4), ("recycle_bin/a/y", 7, 5), ("/a.b/y", 0, 6), ("recycle_bin/a.b/y", 8, 7)]
+    m = spark.createDataFrame(rows, "full_path string, deleted_ts long, id int")
+    got = {r.id: r.full_path for r in mutate.from_bin(m, F.lit(True)).collect()}
+    assert got == {1: "/a/x_3.jpg", 2: "/a/x.jpg", 3: "/a/x_1.jpg", 4: "/a/x_2.jpg", 5: "/a/y", 6: "/a.b/y", 7: "/a.b/y_1"}
+    new = spark.createDataFrame([(1, "/a/n.png"), (2, "/a/n.png"), (3, "/a/n_1.png")], "id int, full_path string")
+    assert {r.id: r.full_path for r in mutate.freed(new, new.limit(0)).collect()} == {1: "/a/n.png", 2: "/a/n_2.png", 3: "/a/n_1.png"}
+
+
+def test_folder_listings(spark):
+    names = [("/f", "a.jpg", 0), ("/f", ".h.jpg", 0), ("/f", "b.mp4", 0), ("/f", "gone.jpg", 9), ("/f/IMG_1", "00.jpg", 0), ("/f/IMG_1", "01_Cover.jpg", 0), ("/f/img_2", "z.jpg", 0), ("/f/other", "q.jpg", 0), ("/.p", "fav.jpg", 0)]
+    rows = [(i, p, n, f"{p}/{n}", d, 1, 5, 6, 2 if n.endswith("mp4") else 1) for i, (p, n, d) in enumerate(names)]
+    m = spark.createDataFrame(rows, "id int, parent_path string, filename string, full_path string, deleted_ts long, size long, date_taken long, last_modified long, type int")
+    taken = spark.createDataFrame([], "full_path string, date_taken long")
+    fav = m.where("id in (0, 8)").select("full_path")
+    got = lambda folder, mask=63, **k: {(r.filename, r.type) for r in scan.folder_listing(m, taken, fav, folder, mask, **k).collect()}
+    assert got("/f") == {("a.jpg", 1), ("b.mp4", 2), ("01_Cover.jpg", 32), ("z.jpg", 32)} and got("/f", 31) == {("a.jpg", 1), ("b.mp4", 2)}
+    assert got(scan.FAVORITES) == {("a.jpg", 1)} and got(scan.FAVORITES, show_hidden=True) == {("a.jpg", 1), ("fav.jpg", 1)}
+    assert got(scan.RECYCLE_BIN) == {("gone.jpg", 1)}
+
+
+def test_manifest_names_are_trimmed_or_skipped(spark):
+    m = spark.createDataFrame([('{"people": [{"name": " Ann ", "folder": "f", "crops": ["1"]}, {"name": " ", "folder": "f", "crops": ["2"]}, {"name": "Bo", "folder": "", "crops": ["3"]}, {"name": "Cy", "folder": "g"}]}',), ("rubbish",), (None,)], "value string")
+    assert [tuple(r) for r in scan.manifest_crops(m).collect()] == [("Ann", "f", "1")]
+    persons = spark.createDataFrame([(4, "Ann")], "id long, name string")
+    more = spark.createDataFrame([("h", " Ann", "f"), ("h", "Bo ", "f"), ("h", "Bo", "g"), ("old", "Cy", "f")], "hash string, name string, folder string")
+    known = spark.createDataFrame([("old",)], "hash string")
+    once = mutate.imported_people(persons, more, known)
+    assert sorted(map(tuple, once.collect())) == [(4, "Ann"), (5, "Bo")] == sorted(map(tuple, mutate.imported_people(once, more, known).collect()))
+
+
+def test_vector_bytes_round_trip(spark):
+    import struct
+
+    from mediacat.functions import imaging
+
+    df = spark.createDataFrame([([1.5, -2.0],), ([],), (None,)], "v array<float>").select("v", imaging.vector_bytes("v").alias("b"))
+    rows = df.select("v", "b", imaging.vector_floats("b").alias("w")).collect()
+    assert bytes(rows[0].b) == struct.pack("<2f", 1.5, -2.0) and [r.w for r in rows] == [r.v for r in rows]
+
+
+def test_sections_of_few_keys(spark):
+    rows = spark.range(0, 300, 1, 5).select("id", (F.col("id") % 7).cast("long").alias("date_taken"), (F.col("id") % 2).cast("int").alias("type"))
+    got = {(r.id, r.section_key, r.grid_position, r.section_count) for r in sequences.sections(rows, "type").collect()}
+    want = set()
+    for k in (0, 1):
+        own = sorted((r for r in rows.collect() if r.type == k), key=lambda r: (-r.date_taken, r.id))
+        want |= {(r.id, str(k), i, len(own)) for i, r in enumerate(own)}
+    assert got == want and sequences.sections(rows.limit(0), "type").count() == 0
