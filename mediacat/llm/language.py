@@ -132,11 +132,16 @@ def fit(docs: DataFrame, train, sample: int = SAMPLE, buckets: int = BUCKETS) ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], names=["lang", "x"])
 
     # copies of one text share a hash: the bound holds for them too
-    got = chosen.mapInArrow(histograms, "lang string, x binary").orderBy(F.xxhash64("x"), "lang").limit(2 * sample * len(counts)).collect()
-    if not got:
+    got = chosen.mapInArrow(histograms, "lang string, x binary").orderBy(F.xxhash64("x"), "lang").limit(2 * sample * len(counts)).toArrow()
+    if not got.num_rows:
         return None
-    x = np.stack([np.frombuffer(r["x"], np.float16) for r in got]).astype(np.float32)
-    return OutputCodes(x, [r["lang"] for r in got])
+    x = np.empty((got.num_rows, buckets), np.float32)
+    for i, row in enumerate(got.column("x")):
+        x[i] = np.frombuffer(row.as_buffer(), np.float16)
+    labels = got.column("lang").to_pylist()
+    del got
+    pa.default_memory_pool().release_unused()
+    return OutputCodes(x, labels)
 
 
 def predict(docs: DataFrame, model: OutputCodes | None, ambiguous_below: float = AMBIGUOUS) -> DataFrame:

@@ -269,7 +269,8 @@ def linked_classes(
     classes = spark.createDataFrame([], "id long, component long")
     links = tried.limit(0)
     # each id with the smallest one it met first: most of the other pairs are then of one component
-    for step, some in (("1a", tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), ("1b", tried)):
+    first = written(tried.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), f"{name}-first")
+    for step, some in (("1a", first), ("1b", tried.join(first, ["a", "b"], "left_anti"))):
         found = linked(written(_between(some, classes).select("a", "b"), f"{name}-pairs-{step}"), step)
         if found is not None:
             links = links.unionByName(found)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import work
+from ..work import discard, work_dir  # noqa: F401
+
 # --------------------------------------------------------------------------- tables
 
 
@@ -20,19 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
-
-    Only where a session names none (tests on one machine) a temporary folder is set.
-    """
-    _short_batches(spark)
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="mediacat-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 #: Rows of whole texts that a Python worker gets at a time; 10,000 (the default) would be tens of MB on either side.
 BATCH_ROWS = 2000
 
@@ -43,45 +30,10 @@ def _short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/mediacat-{name}-{uuid.uuid4().hex}"
-
-
-#: Removes a query's shuffle files when it ends, instead of when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
-    """The session's setting while the block runs."""
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage, and outlives a lost executor."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    with _setting(spark, CLEANUP, "true"):
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables that :func:`written` made and nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
-            if "/mediacat-" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    """:func:`work.written` in short batches."""
+    _short_batches(df.sparkSession)
+    return work.written(df, name)
 
 
 # --------------------------------------------------------------------------- Arrow batches
