@@ -52,3 +52,50 @@ def test_tags_and_notices():
     got = s.scan("// SPDX-License-Identifier: MIT OR Apache-2.0\nunder the GNU General Public License")
     assert got[5] == {"mit", "apache-2.0", "gpl"} and got[6] == ["MIT Apache-2.0 OR"] and got[7] == 1.0 and got[1] == 0
     assert s.scan("nothing")[7] == 0.0
+    assert got[8] is False and s.scan("nothing")[8] is None
+
+
+def test_verdicts(spark):
+    """Each text's verdict against trying all ways to choose one side of every or."""
+    tag = "SPDX-License-Identifier: "
+    texts = {
+        f"{tag}MIT OR GPL-3.0-only": True, f"{tag}MIT AND GPL-3.0-only": False, f"{tag}(MIT OR ISC) AND Zlib": True, f"{tag}GPL-2.0-only WITH Classpath-exception-2.0": False, f"{tag}MIT WITH x": True,
+        f"{tag}MIT AND": None, f"{tag}MIT\nall rights reserved": False, f"{tag}MIT\n{tag}AGPL-3.0-only": False, "under the MIT license": True, "cc by nc": False, "under the MIT license cc by nc": False, "": None,
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.permitted for r in license.scan(df).orderBy("doc_id").collect()] == list(texts.values())
+    assert [r.permitted for r in license.scan(df, allowed=frozenset({"gpl-3.0-only"})).orderBy("doc_id").collect()][:2] == [True, False]
+
+
+def test_evaluation_equals_all_choices():
+    import itertools
+    import random
+
+    rng = random.Random(2)
+    names = ["a", "b", "c", "d"]
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            n = rng.choice(names)
+            return n, lambda ok: n in ok
+        (x, f), (y, g), op = tree(depth - 1), tree(depth - 1), rng.choice(["AND", "OR"])
+        return f"({x} {op} {y})", (lambda ok: f(ok) and g(ok)) if op == "AND" else (lambda ok: f(ok) or g(ok))
+
+    for _ in range(200):
+        text, holds = tree(4)
+        for n in range(5):
+            for ok in itertools.combinations(names, n):
+                assert license.evaluate(license.parse_expression(text), set(ok)) == holds(set(ok))
+
+
+def test_many_places_take_linear_time():
+    import time
+
+    s = license.Scanner()
+    took = []
+    for n in (4000, 16000):
+        began = time.thread_time()
+        got = s.scan("cc by nc w " * n)
+        took.append(time.thread_time() - began)
+        assert got[:4] == (4 * n, n, 0, 4 * n - 4)
+    assert took[1] < 10 * took[0]
