@@ -52,6 +52,23 @@ def test_level_choice_equals_brute_force():
         assert all(len(packer.open[h]) == packer.level[h] for h in range(1, 32))
 
 
+def test_open_windows_are_bounded(spark):
+    """Pieces of more than half a window never meet; what is held does not grow with their number."""
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id doc_id", "repeat('word ', 600) text")
+    got = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), most_open=64).toPandas()
+    tokens = got.drop_duplicates("doc_id").doc_tokens
+    assert 512 < tokens.iloc[0] < 1024 and got.length.sum() == tokens.sum()
+    sizes = got.groupby("sequence_id").agg(n=("length", "sum"), first=("doc_id", "min"), last=("doc_id", "max"))
+    assert (sizes.n == 1024).sum() >= len(sizes) - 10 and all(int(n).bit_count() == 1 for n in sizes.n)
+    assert (sizes["last"] - sizes["first"]).max() < 200  # documents leave soon after they came
+
+
+def test_ids_equal_the_tokenizers_library_over_a_whole_table(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    fast, named = (packing.byte_bpe(public_tokenizers.path(f"byte_bpe_50k.{x}")) for x in ("tiktoken", "json"))
+    assert fast(texts) == named(texts)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert packing.pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
