@@ -108,6 +108,10 @@ def _batch(rows: list[tuple], schema: str, types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
 
+#: Bytes of archive that a task of a lookup should read at most.
+FETCHED = 64 << 20
+
+
 @dataclass
 class Archives:
     """folder: of the .warc.gz files; captures: one row a record (key, file, offset, length)."""
@@ -241,7 +245,7 @@ def lookup(index: Index, archives: Archives, keys: DataFrame) -> DataFrame:
             found = []
             for key in batch.column(0).to_pylist():
                 raw = key.encode("utf-8", "surrogatepass")
-                for _, (name, _, _) in zip(range(1 << 60), files[bisect_left(highs, raw) : bisect_right(lows, raw)], strict=False):
+                for name, _, _ in files[bisect_left(highs, raw) : bisect_right(lows, raw)]:
                     name = name.decode()
                     if name not in known:
                         if len(known) > 8:
@@ -271,7 +275,10 @@ def lookup(index: Index, archives: Archives, keys: DataFrame) -> DataFrame:
 
     wanted = keys.select("key").where("key is not null").distinct()
     located = wanted.mapInArrow(locate, "file string, offset long, length long, key string")
-    return located.repartition("file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(fetch, RESULT)
+    # as many tasks as the archives' bytes ask for: the rows that are dealt are narrow, what they read is not
+    size = archives.captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // FETCHED)
+    return located.repartition(tasks, "file", "offset").sortWithinPartitions("file", "offset", "key").mapInArrow(fetch, RESULT)
 
 
 def keys_of(urls: DataFrame) -> DataFrame:

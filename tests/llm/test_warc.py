@@ -63,6 +63,15 @@ def test_hot_url_and_lookups_over_many_blocks(spark):
     assert lines == 600 and index.directory.where("first_key > last_key").count() == 0
 
 
+def test_many_tasks_fetch(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, f"http://h{i}.example.com/", f"<p>{i}") for i in range(400)], "page_id long, url string, html string").repartition(4)
+    archives, index = run(spark, df)
+    tasks = warc.lookup(index, archives, warc.keys_of(df)).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks > 1
+
+
 def test_archives_read_in_order_too(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     archives, _ = run(spark, pages)
