@@ -17,12 +17,14 @@ from .shared import discard, mix64, written
 RADIUS, TESTS, TURNS = 11, 256, 32
 #: Scales between which a copy may be resized: each is 1/sqrt(2) of the one before.
 SCALES = 4
-#: Blocks of the Hamming table. Two descriptors that differ in fewer bits than there are blocks share a block.
-BLOCKS = 4
+#: Hamming tables, and the bits of a descriptor, drawn at random, that a table compares. Two descriptors that differ in d bits
+#: meet in a table with a chance of about (1 - d / TESTS) ** TABLE_BITS; copies have many pairs of descriptors that may meet.
+TABLES, TABLE_BITS = 12, 64
 #: Bits in which matched descriptors of two candidate images may differ, and matches that must agree on one movement.
-MOST_BITS, LEAST_MATCHES = 24, 4
+MOST_BITS, LEAST_MATCHES = 24, 5
 
 _random = np.random.default_rng(256)
+_DRAWN = np.stack([np.sort(np.random.default_rng(1000 + t).choice(TESTS, TABLE_BITS, replace=False)) for t in range(TABLES)])
 
 
 def _pattern() -> np.ndarray:
@@ -115,12 +117,10 @@ def describe(images: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def block_keys(bits: np.ndarray) -> np.ndarray:
-    """Distinct keys of the descriptors' blocks, in order: the same for all images, so copies meet early."""
-    words = np.ascontiguousarray(bits).view(np.uint64).reshape(-1, BLOCKS, TESTS // 64 // BLOCKS)
-    keys = np.zeros(words.shape[:2], np.uint64)
-    for j in range(words.shape[2]):
-        keys = mix64(keys ^ words[:, :, j]) + np.uint64(j)
-    return np.unique(mix64(keys + np.arange(BLOCKS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+    """Distinct keys of the descriptors' drawn bits in each table."""
+    drawn = np.unpackbits(bits, axis=1)[:, _DRAWN]
+    words = np.packbits(drawn, axis=2).view(np.uint64)[:, :, 0]
+    return np.unique(mix64(mix64(words) + np.arange(TABLES, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
 def consistent(wa: np.ndarray, ba: np.ndarray, wb: np.ndarray, bb: np.ndarray) -> int:
@@ -184,8 +184,8 @@ def features(images: DataFrame) -> DataFrame:
 def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
     """One row per image: image_id, n_corners, component_id and kept (the smallest id of its component).
 
-    Images of equal size and pixels are one from the start. Others are candidates if a block of a descriptor of one equals
-    the same block of one of the other (the Hamming table), and linked if ``least`` descriptor matches agree on one movement
+    Images of equal size and pixels are one from the start. Others are candidates if a descriptor of one and one of the other
+    agree in all drawn bits of a table (the Hamming tables), and linked if ``least`` descriptor matches agree on one movement
     (see :func:`consistent`). Pairs are found by :func:`linking.linked_classes`, never all of a bucket. Null ids are kept
     and linked with nothing, as are null or broken images; rows that share an id are taken for one. No rows give no rows.
     """

@@ -48,6 +48,40 @@ def test_equals_trying_all_pairs(spark):
     assert all(want[i + 1000] == want[i] for i in range(30))
 
 
+#: Least share of the copies that the operator links, by edit; all pairs are tried by the geometric check alone.
+RECALL = {"noise": 1.0, "crop": 1.0, "turn": 1.0, "0.9": 0.9, "0.8": 0.5, "0.7": 0.9}
+
+
+def edited(p, kind, seed):
+    if kind == "noise":
+        return np.clip(p + np.random.default_rng(seed).normal(0, 8, p.shape), 0, 255).astype(np.uint8)
+    if kind == "crop":
+        return p[14:82, 14:82]
+    if kind == "turn":
+        return np.rot90(p).copy()
+    n = round(len(p) * float(kind))
+    return np.clip(media._resized(p[None].astype(np.float32), n, n)[0], 0, 255).astype(np.uint8)
+
+
+def test_recall_by_edit():
+    """By keys and check, and by the check alone; unlike pictures are not linked."""
+    shapes = {}
+    for g in range(20):
+        for kind in ("", *RECALL):
+            p = picture(g)
+            _, where, bits = media.describe((edited(p, kind, g) if kind else p)[None])
+            shapes[g, kind] = where, bits, set(media.block_keys(bits).tolist())
+    same = lambda a, b: media.consistent(*a[:2], *b[:2]) >= media.LEAST_MATCHES
+    alone, both = {}, {}
+    for kind in RECALL:
+        pairs = [(shapes[g, ""], shapes[g, kind]) for g in range(20)]
+        alone[kind] = sum(same(a, b) for a, b in pairs) / 20
+        both[kind] = sum(same(a, b) and bool(a[2] & b[2]) for a, b in pairs) / 20
+    print(alone, both)
+    assert all(both[k] >= v for k, v in RECALL.items()), (alone, both)
+    assert not any(same(shapes[a, ""], shapes[b, ""]) for a in range(20) for b in range(a))
+
+
 def test_broken_vectors(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [1.0, 2.0]), (4, [1.0, None, 0.0, 0.0]), (5, [float("nan")] * 4), (6, [0.1] * 4)], "vec_id long, embedding array<double>")
     assert [r.pixels is None for r in media.rendered(df).orderBy("image_id").collect()] == [True, True, True, True, True, False]
