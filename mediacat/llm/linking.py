@@ -188,6 +188,56 @@ def _across(near: Near, best: bool) -> Callable[..., dict[int, np.ndarray]]:
     return run
 
 
+def _linked_within(near: Near, alike: Callable[[str, str], bool], width: int) -> Callable[[pa.Table], pa.Table]:
+    """Of the rows (cell, id, component, chunk, ``width`` columns of near, text) of whole cells: links that join components.
+
+    Candidates of a cell are tried nearest first; what links have joined meanwhile is not tried again. Nothing but links
+    leaves the task.
+    """
+
+    def of_cell(e: np.ndarray, texts: pa.ChunkedArray | pa.Array) -> Iterator[tuple[int, int]]:
+        _, component, size = np.unique(e[:, 2], return_inverse=True, return_counts=True)
+        if len(size) < 2:
+            return
+        outside = component != size.argmax()
+        rest = np.flatnonzero(outside)
+        split = (e[:, 3] != e[0, 3]).any()
+        columns = np.ascontiguousarray(e[:, 4:].T)
+        line = texts.to_pylist()
+        root = list(range(len(size)))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        step = max(1, (1 << 22) // (len(e) * max(1, width)))
+        for i in range(0, len(rest), step):
+            own = rest[i : i + step]
+            apart = near(columns[:, own, None], columns[:, None, :]).astype(np.float32)
+            no = (component[own][:, None] == component[None]) | (outside[None] & (own[:, None] > np.arange(len(e))[None]))
+            if split:
+                no |= e[own, 3][:, None] == e[None, :, 3]
+            apart[no] = np.inf
+            x, y = np.nonzero(np.isfinite(apart))
+            for k in np.argsort(apart[x, y], kind="stable").tolist():
+                a, b = int(own[x[k]]), int(y[k])
+                p, q = find(component[a]), find(component[b])
+                if p != q and alike(line[a], line[b]):
+                    root[p] = q
+                    yield min(e[a, 1], e[b, 1]), max(e[a, 1], e[b, 1])
+
+    def run(table: pa.Table) -> pa.Table:
+        entries = np.stack([table.column(1 + j).to_numpy() for j in range(4 + width)], 1)
+        order = np.argsort(entries[:, 0], kind="stable")
+        at = _runs(entries[order, 0])
+        links = [link for a, b in zip(at[:-1], at[1:], strict=True) for link in of_cell(entries[order[a:b]], table.column(5 + width).take(pa.array(order[a:b])))]
+        return pa.Table.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return run
+
+
 _as_they_are = lambda entries: {ENTRIES: entries}
 
 
@@ -202,7 +252,7 @@ def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def linked_classes(
-    keys: list[tuple[DataFrame, int]], items: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], name: str, refine: Callable[[DataFrame], DataFrame] | None = None
+    keys: list[tuple[DataFrame, int]], items: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], name: str, refine: Callable[[DataFrame], DataFrame] | None = None, texts: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], bool]] | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Classes of the ids that verified links join, and those links that were needed to find them.
 
@@ -222,6 +272,8 @@ def linked_classes(
        columns in numpy, in blocks; pairs that are no candidates are never rows. A bucket of more than CHUNK members is dealt
        out as pairs of chunks.
 
+    If ``texts`` is given, (id, line) of some ids, and whether two lines are linked, step 3 makes no rows of pairs: open buckets
+    that share ids are one group, whose ids, with their lines, are dealt out as pairs of chunks and compared there.
     For the ids in open buckets ``refine`` may give finer columns (by id), which ``near`` gets after the others.
     Entries are packed by the key's part before they are shuffled, so a key costs 16 bytes and no row of its own.
     Returns (id, component) of the linked ids, and the links (a, b).
@@ -283,16 +335,33 @@ def linked_classes(
         spans = written(spans.where("p <> q and n > 3").select("key", "n"), f"{name}-keys-{step}")
         return written(placed.join(spans, "key"), f"{name}-open-{step}")
 
+    def chunked(rows: DataFrame, key: str, most: int) -> DataFrame:
+        """Rows (id, ``key``, n: rows of the key) with their chunk, dealt to each cell (pair of chunks) that needs them."""
+        chunks = F.ceil(F.col("n") / most).cast("int")
+        rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("long")).withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), (chunks - 1).cast("long"))))
+        return rows.withColumn("cell", F.when(F.col("n") <= most, F.col(key)).otherwise(F.xxhash64(key, F.least("chunk", "to"), F.greatest("chunk", "to"))))
+
     def across(left: DataFrame, fine: DataFrame, best: bool) -> DataFrame:
-        chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-        cells = left.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("to", F.explode(F.sequence(F.lit(0), chunks - 1)))
-        cell = F.when(F.col("n") <= CHUNK, F.col("key")).otherwise(F.xxhash64("key", F.least("chunk", "to"), F.greatest("chunk", "to")))
+        cells = chunked(left, "key", CHUNK)
         own = [f"near_{c}" for c in fine.columns if c != "id"]
-        rows = cells.withColumn("cell", cell).join(fine.select("id", *[F.col(c.removeprefix("near_")).alias(c) for c in own]), "id")
-        rows = rows.select(F.array("cell").alias("keys"), "id", "component", F.col("chunk").cast("long").alias("chunk"), *own)
+        rows = cells.join(fine.select("id", *[F.col(c.removeprefix("near_")).alias(c) for c in own]), "id")
+        rows = rows.select(F.array("cell").alias("keys"), "id", "component", "chunk", *own)
         found = _by_part(_dealt(rows, _parts_of(spark, left.count()), _as_they_are), len(rows.columns), _across(near, best))
         return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
 
+    def compared(left: DataFrame, fine: DataFrame) -> DataFrame:
+        """Links across the components of open buckets."""
+        lines_of, alike = texts
+        low = left.groupBy("key").agg(F.min("id").alias("b"))
+        edges = left.join(low, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+        groups = written(components(edges, f"{name}-groups").select("id", F.col("component").alias("grp")), f"{name}-grouped")
+        own = [c for c in fine.columns if c != "id"]
+        rows = left.select("id", "component").distinct().join(groups, "id").join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
+        cells = chunked(rows, "grp", CHUNK // 16).join(fine.select("id", *[F.col(c).alias(f"near_{c}") for c in own]), "id").join(written(lines_of(fine.select("id")), f"{name}-within"), "id")
+        part = F.pmod(F.xxhash64("cell"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int")
+        cells = cells.select(part.alias("part"), "cell", "id", "component", "chunk", *[f"near_{c}" for c in own], "line")
+        return cells.groupBy("part").applyInArrow(_linked_within(near, alike, len(own)), "a long, b long").distinct()
+
     left = still_open(classes, 2)
     for step, best in ((2, True), (3, False)):
         if left.isEmpty():
@@ -301,10 +370,13 @@ def linked_classes(
             own = left.select("id").distinct()
             fine = info.join(own, "id")
             fine = written(fine.join(refine(own), "id") if refine else fine, f"{name}-fine")
-        more = written(across(left, fine, best), f"{name}-pairs-{step}")
-        tried = tried.unionByName(more)
-        found = linked(more, step)
-        if found is not None:
+        if texts and not best:
+            found = written(compared(left, fine), f"{name}-links-{step}")
+        else:
+            more = written(across(left, fine, best), f"{name}-pairs-{step}")
+            tried = tried.unionByName(more)
+            found = linked(more, step)
+        if found is not None and not found.isEmpty():
             links = links.unionByName(found)
             classes = merged(classes, found, step)
             left = still_open(classes, 3) if best else left

@@ -77,6 +77,28 @@ def test_links_across_rounds(spark):
     assert len(tried) == len(set(tried)) < 400 * 399 // 2
 
 
+def test_links_across_rounds_without_rows_of_pairs(spark, monkeypatch):
+    """The same links, found inside groups that are dealt out as pairs of small chunks."""
+    monkeypatch.setattr(linking, "CHUNK", 16 * 40)
+    rng = random.Random(4)
+    keys = {i: [7, *([3] if i < 100 else [rng.randrange(10**9)]), *([5] if i in (50, 201, 203, 350) else []), rng.randrange(10**9)] for i in range(200)}
+    links = {(i, i + 1) for i in range(49)} | {(101, 103), (50, 150), (60, 199), (199, 61)} | {(0, i) for i in range(30)}
+    pairs = {(min(x), max(x)) for x in links}
+    items = spark.createDataFrame([(i, k, i % 2) for i, k in keys.items()], "id long, keys array<long>, odd long")
+    good = spark.createDataFrame(sorted(pairs), "a long, b long")
+    near = lambda a, b: np.where(np.abs(a[0] - b[0]) <= 1, 1.0, np.inf)
+    tried = []
+
+    def verify(some):
+        tried.extend(some.collect())
+        return some.join(good, ["a", "b"], "left_semi")
+
+    texts = (lambda ids: ids.select("id", ids["id"].cast("string").alias("line")), lambda a, b: (min(int(a), int(b)), max(int(a), int(b))) in pairs)
+    made, _ = linking.linked_classes([(items, 800)], items.drop("keys"), near, verify, "t", texts=texts)
+    assert {r.id: r.component for r in made.collect()} == {i: c for i, c in classes(range(200), pairs).items() if any(i in x for x in pairs)}
+    assert len(tried) < 2000
+
+
 def test_filter_keeps_what_is_asked_for(spark):
     rows = spark.range(1000).selectExpr("id", "cast(id as string) text")
     got = {r.id for r in linking.thinned(rows, spark.range(990, 1010), "id").collect()}
