@@ -90,6 +90,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.lookup(index, archives, warc.keys_of(pages)).drop("url")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fim
+
+    return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_duplicates": op2_near_duplicates,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_copies": op8_media_copies,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
-SQL: dict[str, str] = {"op2_near_duplicates": sql.OP2, "op3_chat": sql.OP3, "op10_warc": sql.OP10}
+SQL: dict[str, str] = {"op2_near_duplicates": sql.OP2, "op3_chat": sql.OP3, "op10_warc": sql.OP10, "op12_fill_in_middle": sql.OP12}
