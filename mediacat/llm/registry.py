@@ -96,6 +96,14 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.transform(table(spark, sf_dir, "documents")))
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import pieces
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_near_duplicates": op2_near_duplicates,
@@ -108,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_pieces": op13_pieces,
 }
 
 SQL: dict[str, str] = {"op2_near_duplicates": sql.OP2, "op3_chat": sql.OP3, "op10_warc": sql.OP10, "op12_fill_in_middle": sql.OP12}
