@@ -90,6 +90,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.lookup(index, archives, warc.keys_of(pages)).drop("url")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import search
+
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import fim
 
@@ -115,8 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media_copies": op8_media_copies,
     "op9_line_dedup": op9_line_dedup,
     "op10_warc": op10_warc,
+    "op11_ranked_search": op11_ranked_search,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_pieces": op13_pieces,
 }
 
-SQL: dict[str, str] = {"op2_near_duplicates": sql.OP2, "op3_chat": sql.OP3, "op10_warc": sql.OP10, "op12_fill_in_middle": sql.OP12}
+SQL: dict[str, str] = {"op2_near_duplicates": sql.OP2, "op3_chat": sql.OP3, "op10_warc": sql.OP10, "op11_ranked_search": sql.OP11, "op12_fill_in_middle": sql.OP12}

@@ -28,6 +28,17 @@ SELECT page_id, octet_length(encode(html))::bigint AS payload_bytes,
 array_to_string(flatten([[('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[(((('0x' || h[5*i+1:5*i+5])::int >> (15 - 5*j)) & 31) + 1)::int] for j in range(0, 4)] for i in range(0, 8)]), '') AS payload_digest,
 CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
 
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+OP11 = f"""WITH t AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS w FROM documents), d AS (SELECT r, doc_id, len(w) AS n FROM t WHERE len(w) > 0),
+g AS (SELECT count(*) AS n_docs, sum(n)::bigint AS n_terms FROM d), b AS (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark),
+q AS (SELECT i, term, count(*) AS repeats FROM (SELECT i, unnest(w) AS term FROM b) GROUP BY 1, 2),
+p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM t) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT i, r, sum(repeats * floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))))::bigint AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (r), g GROUP BY 1, 2),
+k AS (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM s JOIN d USING (r) WHERE score > 0)
+SELECT item_id, rank::int AS rank, doc_id, score FROM k JOIN b USING (i) WHERE rank <= 20"""
+
 OP12 = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
 u AS (SELECT *, regexp_extract_all(text, '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u, ('0x' || substr(h, 1, 8))::bigint AS h1, ('0x' || substr(h, 9, 8))::bigint AS h2, ('0x' || substr(h, 17, 8))::bigint AS h3, ('0x' || substr(h, 25, 8))::bigint AS h4 FROM t),
 c AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
