@@ -1,11 +1,11 @@
-"""Folders: roll-ups, visibility, synthesis of parents, sub-folder counts, order."""
+"""Folders: roll-ups, visibility, longest prefixes, order. The folder tree is in ``tree``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ancestors, name_of, parent_of, prefixes
+from ..functions.text import ancestors, name_of, prefixes
 
 
 def rollup(rows: DataFrame, descending: bool = True, with_size: bool = True, covers: DataFrame | None = None) -> DataFrame:
@@ -93,21 +93,6 @@ def crowded_ancestors(folders: DataFrame, marker: str = "/android/data", more_th
     return many.join(upper, "a", "left_anti").select(F.col("a").alias("path"), "n")
 
 
-def with_parents(dirs: DataFrame) -> DataFrame:
-    """Folders and, for each parent of several that has no row of its own (any case), a synthetic row.
-
-    Counts and sizes add up, types are or-ed, times are the latest of the children, the thumbnail is the first child's.
-    """
-    own = dirs.select(F.lower("path").alias("k")).distinct()
-    made = dirs.groupBy(parent_of("path").alias("parent")).agg(
-        F.count("*").alias("n"), F.sum("media_count").alias("media_count"), F.sum("size").alias("size"), F.bit_or("media_types").alias("media_types"),
-        F.max("date_taken").alias("date_taken"), F.min_by("thumbnail", "path").alias("thumbnail"),
-    )
-    made = made.where("n > 1 and parent <> ''").withColumn("k", F.lower("parent")).join(own, "k", "left_anti")
-    made = made.select(F.col("parent").alias("path"), "thumbnail", "media_count", "size", "media_types", "date_taken", F.lit(False).alias("has_media"))
-    return dirs.select("path", "thumbnail", "media_count", "size", "media_types", "date_taken", F.lit(True).alias("has_media")).unionByName(made)
-
-
 def longest_prefix(children: DataFrame, parents: DataFrame) -> DataFrame:
     """(child, parent): the longest parent path that the child's path starts with, any case, no path boundary needed.
 
@@ -118,12 +103,6 @@ def longest_prefix(children: DataFrame, parents: DataFrame) -> DataFrame:
     return hit.groupBy("child").agg(F.max_by("parent", "n").alias("parent"))
 
 
-def subfolder_counts(children: DataFrame, parents: DataFrame) -> DataFrame:
-    """Sub-folders and their media by parent, each child counting for its longest prefix."""
-    placed = longest_prefix(children, parents).join(children.withColumnRenamed("path", "child"), "child")
-    return placed.groupBy("parent").agg(F.count("*").alias("subfolders"), F.sum(F.when(F.col("child") != F.col("parent"), F.col("media_count")).otherwise(0)).alias("subfolder_media"))
-
-
 def ordered(dirs: DataFrame, by: str = "taken", descending: bool = True, pinned: DataFrame | None = None) -> DataFrame:
     """Adds ``position``'s sort keys: pinned folders first, then the sort value; ties keep the path's order."""
     number = by in ("size", "count", "modified", "taken")

@@ -250,13 +250,6 @@ query(
     .crossJoin(c.qr.agg(F.count_if(F.col("qr_text") != "").alias("codes")))
 )
 query("A5_bin_size", "SELECT sum(CASE WHEN size = 0 THEN 1000 ELSE size END)::bigint AS size FROM media WHERE deleted_ts <> 0")(lambda c: c.media.where("deleted_ts <> 0").agg(F.sum(F.coalesce(F.nullif(F.col("size"), F.lit(0)), F.lit(1000))).alias("size")))
-query(
-    "A6_parents",
-    """SELECT path, media_count, size, media_types, true AS has_media FROM dirs UNION ALL SELECT regexp_replace(path, '/[^/]*$', ''), sum(media_count)::bigint, sum(size)::bigint, bit_or(media_types), false FROM dirs
-    WHERE lower(regexp_replace(path, '/[^/]*$', '')) NOT IN (SELECT lower(path) FROM dirs) GROUP BY 1 HAVING count(*) > 1""",
-)(lambda c: folders.with_parents(dirs(c)).select("path", "media_count", "size", "media_types", "has_media"))
-query("A8_subfolder_counts", """WITH p AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS path FROM dirs), l AS (SELECT d.path AS child, any_value(d.media_count) AS n, arg_max(p.path, length(p.path)) AS parent FROM dirs d JOIN p ON starts_with(lower(d.path), lower(p.path)) GROUP BY 1)
-    SELECT parent, count(*) AS subfolders, sum(n)::bigint AS subfolder_media FROM l GROUP BY 1""")(lambda c: folders.subfolder_counts(dirs(c).select("path", "media_count"), dirs(c).select(text.parent_of("path").alias("path")).distinct()))
 query("A9_geo_clusters", "SELECT floor(lon / 0.703125)::bigint AS gx, floor(lat / 0.703125)::bigint AS gy, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, count(*) AS n, min(path) AS first_path FROM geo WHERE has_geo GROUP BY 1, 2")(lambda c: people.grid_clusters(c.geo, 8))
 query("A10_bounding_box", "SELECT min(lat) AS south, max(lat) AS north, min(lon) AS west, max(lon) AS east, min(lat) = max(lat) AND min(lon) = max(lon) AS one_point FROM geo WHERE has_geo")(lambda c: people.bounding_box(c.geo))
 query("A11_crowded_folders", """WITH f AS (SELECT DISTINCT parent_path AS path FROM media), a AS (SELECT path, unnest([array_to_string((string_split(path, '/'))[1:i], '/') for i in range(2, len(string_split(path, '/')))]) AS a FROM f),

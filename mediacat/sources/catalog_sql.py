@@ -48,6 +48,10 @@ TABLES = {
     # live, visible rows with their effective capture time
     "clean": """SELECT m.* EXCLUDE (date_taken), coalesce(d.date_taken, nullif(m.date_taken, 0), m.last_modified) AS date_taken FROM media m LEFT JOIN date_takens d USING (full_path)
         WHERE m.deleted_ts = 0 AND m.type <> 0 AND m.size > 0 AND m.filename NOT LIKE '.%'""",
+    # the folder overview: the first item by capture time is the cover, the times are those of the first and last
+    "rolled": """SELECT parent_path AS path, max(CASE WHEN a = 1 THEN full_path END) AS thumbnail, count(*) AS media_count, sum(size)::bigint AS size, bit_or(type) AS media_types,
+        max(CASE WHEN a = 1 OR z = 1 THEN last_modified END) AS last_modified, max(CASE WHEN a = 1 OR z = 1 THEN date_taken END) AS date_taken
+        FROM (SELECT *, row_number() OVER (PARTITION BY parent_path ORDER BY date_taken DESC, id) AS a, row_number() OVER (PARTITION BY parent_path ORDER BY date_taken, id DESC) AS z FROM clean) GROUP BY 1""",
     "dirs": "SELECT parent_path AS path, count(*) AS media_count, sum(size)::bigint AS size, bit_or(type) AS media_types, min(date_taken) AS first_taken, max(date_taken) AS last_taken FROM clean GROUP BY 1",
 }
 
@@ -66,4 +70,6 @@ def sql(body: str) -> str:
     if not needed:
         return body
     head = ", ".join(f"{n} AS ({TABLES[n]})" for n in needed)
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body.removeprefix('WITH RECURSIVE ')}"
     return f"WITH {head}, {body.removeprefix('WITH ')}" if body.startswith("WITH ") else f"WITH {head} {body}"

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from mediacat.plans import catalog_queries as q
+from mediacat.plans import tree_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
