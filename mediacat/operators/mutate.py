@@ -13,7 +13,8 @@ BIN = "recycle_bin"
 
 
 def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with the same key, whole; the later of several new rows (by ``ord``) holds.
+    """Rows of ``new`` replace those of ``old`` with the same key, whole; the later of several new rows (by ``ord``, then
+    one that is the same in every run) holds.
 
     Rows with a null in the key are like no other: they stay, and new ones are added. One aggregation by key with map-side
     combination, so a hot key is reduced before it is shuffled.
@@ -24,7 +25,7 @@ def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     keys = [F.col(f"r.{k}").alias(f"_k{i}") for i, k in enumerate(key)]
     both = both.unionByName(fresh)
     known = reduce(Column.__and__, [F.col(f"r.{k}").isNotNull() for k in key])
-    one = both.where(known).groupBy(*keys).agg(F.max_by("r", F.struct("v", "o")).alias("r"))
+    one = both.where(known).groupBy(*keys).agg(F.max_by("r", F.struct("v", "o", F.xxhash64("r"))).alias("r"))
     return one.select("r.*").unionByName(both.where(~known).select("r.*"))
 
 

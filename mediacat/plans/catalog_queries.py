@@ -425,9 +425,6 @@ query("D10_delete_person", """SELECT 'assignments' AS kind, face_id AS id, perso
     UNION ALL SELECT 'anchors', id, person_id FROM anchors WHERE person_id <> 4 UNION ALL SELECT 'persons', id, id FROM persons WHERE id <> 4""")(
     lambda c: _kinds_of(**dict(zip(("assignments", "cannot", "anchors", "persons"), mutate.deleted_person(c.assignments, c.cannot_links, c.anchors, c.persons, 4), strict=True)))
 )
-query("D11_assign_ignored", "SELECT face_id, 7::bigint AS person_id FROM ignored UNION ALL SELECT face_id, person_id FROM assignments WHERE face_id NOT IN (SELECT face_id FROM ignored)")(
-    lambda c: mutate.upsert(c.assignments.select("face_id", "person_id"), c.ignored.withColumn("person_id", F.lit(7)), "face_id")
-)
 query("D12_not_this_person", "SELECT face_id, person_id FROM cannot_links UNION SELECT face_id, person_id FROM assignments WHERE face_id % 12 = 4 AND NOT is_manual")(
     lambda c: mutate.rejected(c.assignments, c.cannot_links, c.assignments.where("face_id % 12 = 4"))[1]
 )
@@ -439,14 +436,9 @@ query("D14_manifest_import", """SELECT id, name FROM persons UNION ALL SELECT (S
         c.spark.createDataFrame([("h1",)], "hash string"),
     )
 )
-query("D13_capture_time_fix", "SELECT m.id, coalesce(d.date_taken, m.date_taken) AS date_taken FROM media m LEFT JOIN date_takens d USING (full_path)")(
-    lambda c: c.media.join(c.date_takens.select("full_path", F.col("date_taken").alias("d")), "full_path", "left").select("id", F.coalesce("d", "date_taken").alias("date_taken"))
-)
 query("D15_move", f"SELECT id, full_path, filename, parent_path FROM media WHERE parent_path <> '{CAMERA}' UNION ALL SELECT id, '/moved/' || filename, filename, '/moved' FROM media WHERE parent_path = '{CAMERA}'")(
     lambda c: mutate.moved(c.media, c.media.where(F.col("parent_path") == CAMERA).select(F.col("full_path").alias("old_key"), F.concat(F.lit("/moved/"), "filename").alias("new_key"))).select("id", "full_path", "filename", "parent_path")
 )
-query("D16_clear_favorites", "SELECT id, false AS is_favorite FROM media")(lambda c: mutate.updated(c.media, F.lit(True), is_favorite=F.lit(False)).select("id", "is_favorite"))
-
 # ---------------------------------------------------------------- what leaves the catalog
 
 query("Z1_listing_json", "SELECT to_json({'id': id, 'relpath': parent_path, 'name': filename, 'size': size, 'mtime': last_modified, 'bucket': regexp_extract(parent_path, '[^/]*$'), 'mime': CASE " + " ".join(f"WHEN lower(regexp_extract(filename, '[^.]*$')) = '{e}' THEN '{m}'" for e, m in (("jpg", "image/jpeg"), ("jpeg", "image/jpeg"), ("png", "image/png"), ("gif", "image/gif"), ("heic", "image/heic"), ("mp4", "video/mp4"))) + " ELSE 'application/octet-stream' END})::varchar AS value FROM clean")(
@@ -472,12 +464,4 @@ def _indexed(c: Catalog) -> DataFrame:
     return c.spark.read.schema("id long, ext string").parquet(out)
 
 
-@query("ST2_upsert_stream", "SELECT id, full_path, size FROM media")
-def _upserted(c: Catalog) -> DataFrame:
-    """The media table after the event files were upserted."""
-    table = ingest.VersionedTable(c.spark, work_dir(c.spark, "media-versions"), c.media.schema)
-    ingest.upsert_stream(c.streamed().media, table, work_dir(c.spark, "media-stream")).awaitTermination()
-    return table.read().select("id", "full_path", "size")
-
-
 query("ST3_new_rows", "SELECT id FROM media WHERE id > (SELECT max(id) FROM media) - 100")(lambda c: ingest.new_since(c.media, c.media.agg(F.max("id")).first()[0] - 100).select("id"))

@@ -1,68 +1,61 @@
-"""Incremental upkeep: new files become upserts of the media table and refresh the folders that they touch."""
+"""Incremental upkeep: new files become changes of the media table and refresh the folders that they touch."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
-from ..operators import folders, mutate
+from ..operators import folders
+from ..sources.store import Change, Store
 
+#: What the media table is bucketed on, so that a folder's rows lie together.
+FOLDER_OF_PATH = "regexp_replace(full_path, '/[^/]*$', '')"
 
-class VersionedTable:
-    """A Parquet table as numbered versions in one folder: writers make the next, readers take the last complete one."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: StructType):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+def media_store(store: Store, media: DataFrame, directories: bool = True, buckets: int = 64) -> Store:
+    """Creates the media table, and that of the folders, in an empty store."""
+    store.create("media", media.schema, "full_path", buckets=buckets, bucket_on=FOLDER_OF_PATH)
+    if directories:
+        store.create("directories", folders.rollup(media.limit(0)).schema, "path", buckets=buckets)
+    return store
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(root):
-            return []
-        names = [s.getPath() for s in fs.listStatus(root)]
-        return sorted(int(p.getName()[1:]) for p in names if p.getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
-    def version(self) -> int:
-        return max(self._versions(), default=-1)
+def refresh_folders(change: Change, touched: DataFrame) -> None:
+    """Rolls the ``touched`` folders (parent_path) up anew from their buckets of the media table; those without live media go."""
+    touched = touched.where("parent_path is not null").distinct()
+    rows = change.read("media", change.buckets_of("media", touched)).where("deleted_ts = 0").join(touched, "parent_path", "left_semi")
+    change.upsert("directories", folders.rollup(rows))
+    left = rows.select("parent_path").distinct()
+    change.delete("directories", touched.join(left, "parent_path", "left_anti").withColumnRenamed("parent_path", "path"))
 
-    def read(self) -> DataFrame:
-        v = self.version()
-        return self.spark.createDataFrame([], self.schema) if v < 0 else self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.select(self.schema.fieldNames()).write.mode("overwrite").parquet(f"{self.path}/v{version}")
+def upsert_stream(source: DataFrame, store: Store, checkpoint: str, order: Column | None = None, once: bool = True) -> StreamingQuery:
+    """Upserts each micro-batch into the store's media and refreshes the folders it touches, in one commit.
 
-
-def upsert_stream(
-    source: DataFrame, target: VersionedTable, checkpoint: str, key: str = "full_path", on_folders: Callable[[DataFrame, int], None] | None = None, once: bool = True
-) -> StreamingQuery:
-    """Upserts each micro-batch into ``target``; ``on_folders`` gets the roll-up of the folders that the batch touched.
-
-    A batch's version is its number, so a batch that is run again after a failure writes the same version again.
+    Writes bytes in proportion to the batch and to its folders' rows in the overview, and reads those folders' buckets. ``order`` says which of a batch's
+    rows of one path is the last. A batch that is run again after a failure has been committed under its number, and is dropped.
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            base = target.read() if number == 0 or target.version() < number else target.spark.read.schema(target.schema).parquet(f"{target.path}/v{number - 1}")
-            target.write(mutate.upsert(base, batch, key), number)
-            if on_folders:
-                touched = batch.select("parent_path").distinct()
-                on_folders(folders.rollup(target.read().where("deleted_ts = 0").join(touched, "parent_path", "left_semi")), number)
-        finally:
-            batch.unpersist()
+        with store.change(checkpoint, number) as change:
+            if change.repeated:
+                return
+            batch = batch.persist()
+            try:
+                change.upsert("media", batch, order)
+                refresh_folders(change, batch.select("parent_path"))
+            finally:
+                batch.unpersist()
 
     writer = source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="3 seconds")).start()
 
 
 def index_stream(source: DataFrame, extract: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Runs an indexer over new rows only; what is done is kept by the checkpoint, rows that fail in ``extract`` are its own."""
+    """Runs an indexer over new rows only; what is done is kept by the checkpoint. See ``indexing`` for one that keeps failing rows."""
     return extract(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
