@@ -74,9 +74,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lines
 
     docs = table(spark, sf_dir, "documents")
-    gone = lines.duplicate_lines(docs).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
-    sizes = docs.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
-    return sizes.join(gone, "doc_id", "left").select(
+    gone = lines.duplicate_lines(docs).groupBy("doc_id", "part").agg(F.sort_array(F.collect_set("line_no")).alias("removed_lines"))
+    sizes = docs.select("doc_id", F.xxhash64("text").alias("part"), F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long").alias("n_lines"))
+    return sizes.join(gone, ["doc_id", "part"], "left").select(
         "doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed_lines", F.array().cast("array<int>")).alias("removed_lines")
     )
 
