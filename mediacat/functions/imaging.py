@@ -73,3 +73,42 @@ def vector_floats(data: str) -> Column:
         return values.map(lambda b: np.frombuffer(b, "<f4", len(b) // 4), na_action="ignore")
 
     return unpack(data)
+
+
+def similarity_matrix(src: str, dst: str) -> Column:
+    """The turn, scale and shift that maps points to others with the least sum of squares: (a, b, tx, ty) of the matrix
+    [a, -b, tx; b, a, ty]. Points are arrays x1, y1, x2, y2, ... of one length, five points for a face.
+
+    Null if a point is missing, if there are fewer than two points, or if all points to be mapped are one.
+    """
+    n = F.size(src) / 2
+    at = F.sequence(F.lit(1), F.size(src), F.lit(2))
+
+    def total(f) -> Column:
+        return F.aggregate(at, F.lit(0.0), lambda s, i: s + f(i))
+
+    def x(points: str):
+        return lambda i: F.get(points, i - 1).cast("double")
+
+    def y(points: str):
+        return lambda i: F.get(points, i).cast("double")
+
+    sx, sy, dx, dy = (total(f) / n for f in (x(src), y(src), x(dst), y(dst)))
+    means = F.struct(sx.alias("sx"), sy.alias("sy"), dx.alias("dx"), dy.alias("dy"))
+    whole = (F.size(src) == F.size(dst)) & (F.size(src) >= 4) & (F.size(src) % 2 == 0)
+
+    def fitted(m: Column) -> Column:
+        u, v = (lambda i: x(src)(i) - m["sx"]), (lambda i: y(src)(i) - m["sy"])
+        p, q = (lambda i: x(dst)(i) - m["dx"]), (lambda i: y(dst)(i) - m["dy"])
+        sums = F.struct(
+            total(lambda i: u(i) * p(i) + v(i) * q(i)).alias("along"), total(lambda i: u(i) * q(i) - v(i) * p(i)).alias("across"),
+            total(lambda i: u(i) * u(i) + v(i) * v(i)).alias("spread"), m.alias("m"),
+        )
+        return F.get(F.transform(F.array(sums), lambda s: F.when(s["spread"] > 0, _placed(s["along"] / s["spread"], s["across"] / s["spread"], s["m"]))), 0)
+
+    return F.when(whole, F.get(F.transform(F.array(means), fitted), 0))
+
+
+def _placed(a: Column, b: Column, m: Column) -> Column:
+    tx, ty = m["dx"] - (a * m["sx"] - b * m["sy"]), m["dy"] - (b * m["sx"] + a * m["sy"])
+    return F.struct(a.alias("a"), b.alias("b"), tx.alias("tx"), ty.alias("ty"))

@@ -52,7 +52,8 @@ def day_start(ms: Column, unit: str = "DAY") -> Column:
 
 def in_days(ms: Column, first: Column, last: Column) -> Column:
     """Whether a time is from the start of the day of ``first`` to the last millisecond of the day of ``last``."""
-    return ms.between(day_start(first), day_start(last + 86_400_000) - 1)
+    after = F.date_add(F.to_date(F.timestamp_millis(last)), 1).cast("timestamp")  # a day may have 23 or 25 hours
+    return (ms >= day_start(first)) & (ms < F.unix_millis(after))
 
 
 def seconds_of(ms: Column) -> Column:

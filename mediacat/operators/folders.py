@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ancestors, name_of, prefixes
+from ..work import written
 
 
-def rollup(rows: DataFrame, descending: bool = True, with_size: bool = True, covers: DataFrame | None = None) -> DataFrame:
+def rollup(rows: DataFrame, descending: bool = True, with_size: bool = True, covers: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
     """One row per folder of a listing that is sorted by capture time, then id.
 
-    The thumbnail is the first item in order, unless ``covers`` (path, tmb) names one. Times are the extremes of the first
+    The thumbnail is the first item in order, unless ``covers`` (path, tmb, ord) names one, the last of several that are among ``files``
+    (full_path) if these are given. Times are the extremes of the first
     and last item only, as the listing shows them. One aggregation with map-side combination; no sort of the rows.
     """
     taken = F.col("date_taken")
@@ -30,6 +32,8 @@ def rollup(rows: DataFrame, descending: bool = True, with_size: bool = True, cov
         pick("first.last_modified", "last.last_modified").alias("last_modified"), pick("first.date_taken", "last.date_taken").alias("date_taken"),
     )
     if covers is not None:
+        if files is not None:
+            covers = covers.join(files.select(F.col("full_path").alias("tmb")).distinct(), "tmb", "left_semi")
         own = covers.groupBy("path").agg(F.max_by("tmb", "ord").alias("tmb"))
         out = out.join(own, "path", "left").withColumn("thumbnail", F.coalesce("tmb", "thumbnail")).drop("tmb")
     return out
@@ -79,6 +83,38 @@ def marked_names(folders: DataFrame, included: DataFrame, nomedia: DataFrame) ->
     return out.select("path", F.when(F.col("m") & F.col("i").isNull(), F.concat(name_of("path"), F.lit(" (hidden)"))).otherwise(name_of("path")).alias("name"))
 
 
+#: Rewrites of a path after which it is taken for one that runs in a circle.
+MOST_REWRITES = 40
+
+
+def resolved(paths: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Adds ``real`` to ``paths`` (path): the path without ``aliases`` (path, target), folders that stand for other folders.
+
+    Again and again the longest alias that the path is, or that it lies below, gives way to its target, until none is left. Paths that never
+    end so, as their aliases run in a circle, stay as they are. A round is an equi-join of the beginnings of those paths that the last one
+    changed, and of these the driver learns only whether there are any.
+    """
+    short = aliases.where("path <> target").groupBy(F.col("path").alias("a")).agg(F.min("target").alias("target"))
+    moving = paths.select("path", F.col("path").alias("real")).where("path is not null").distinct()
+    done = None
+    for i in range(MOST_REWRITES):
+        above = moving.select("path", "real", F.explode(ancestors("real")).alias("a")).join(short, "a")
+        longest = above.groupBy("path").agg(F.max_by(F.struct("a", "target"), F.length("a")).alias("m"))
+        step = written(moving.join(longest, "path", "left"), f"rewritten-{i}")
+        still = step.where("m is null").select("path", "real")
+        done = still if done is None else done.unionByName(still)
+        moving = step.where("m is not null").select("path", F.concat(F.col("m.target"), F.expr("substring(real, length(m.a) + 1)")).alias("real"))
+        if moving.isEmpty():
+            break
+    return paths.join(done, "path", "left").withColumn("real", F.coalesce("real", "path"))
+
+
+def distinct_real_folders(folders: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Of folders that are one after :func:`resolved`, in any case, the first by ``ord``."""
+    real = resolved(folders, aliases).withColumn("_k", F.lower("real"))
+    return real.groupBy("_k").agg(F.min_by(F.struct(*folders.columns), "ord").alias("r")).select("r.*")
+
+
 def distinct_folders(folders: DataFrame) -> DataFrame:
     """Of folders that differ in case only the first (by ``ord``)."""
     first = folders.groupBy(F.lower("path").alias("_k")).agg(F.min_by(F.struct(*folders.columns), "ord").alias("r"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import like_pattern
+from ..work import written
 
 
 def good_faces(faces: DataFrame) -> DataFrame:
@@ -88,8 +89,9 @@ def best_similarity(faces: DataFrame, vectors: DataFrame) -> DataFrame:
     """Each face with its largest similarity to one of ``vectors`` (vector).
 
     The vectors are dealt to blocks of a bounded size, each of which is one array row; faces meet blocks, not single vectors,
-    and a block is broadcast only because its size is bounded.
+    and a block is broadcast only because its size is bounded. The vectors are written first, as counting and packing them would cluster twice.
     """
+    vectors = written(vectors, "vectors")
     n = vectors.count()
     blocks = max(1, -(-n // CENTROID_BLOCK))
     out = None
@@ -109,7 +111,7 @@ def sub_centroids(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
 
     A vector joins the nearest centroid (the first of equal ones) if their similarity is above the threshold; the centroid, times
     the number of its vectors, plus the vector, brought to length 1, is the new one. Else the vector founds one. Sequential by definition: persons are dealt to tasks and sorted, and a task streams its rows, holding
-    one person's centroids only, so a person of any number of faces is never gathered.
+    one person's centroids only, so a person of any number of faces is never gathered. Rows without a vector are passed over.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,7 +138,7 @@ def sub_centroids(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
         if counts:
             yield done()
 
-    dealt = rows.select("person_id", "ord", "embedding").repartition("person_id").sortWithinPartitions("person_id", "ord")
+    dealt = rows.where("embedding is not null").select("person_id", "ord", "embedding").repartition("person_id").sortWithinPartitions("person_id", "ord")
     return dealt.mapInPandas(run, "person_id long, cluster long, n long, centroid array<double>")
 
 

@@ -9,20 +9,18 @@ from ..functions.kinds import day_start
 from ..functions.text import ascii_fold, extension_of
 from ..work import written
 
-#: Time buckets by which bursts are sought.
-BUCKET_MS = 6 * 3_600_000
 
-
-def burst_rows(images: DataFrame, gap_ms: int = 3000, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def burst_rows(images: DataFrame, gap_ms: int = 3000) -> DataFrame:
     """Images (id, parent_path, date_taken) with their group: images in a row, of one folder, at most ``gap_ms`` apart, in the
     order of all images; ``group`` is the time and id of its first image.
 
-    An image of another folder in between ends a group, so order is global. Rows are dealt by fixed time buckets, not to one
-    task: windows run inside a bucket, and one narrow row a bucket carries its last image and last group start to the next
-    (buckets are bounded by the time that the catalog spans). Images of unknown time (0) are a group each.
+    An image of another folder in between ends a group, so order is global. Rows are dealt by ranges of (time, id), so that images of
+    one time, or of none, do not end in one task, and written: windows run inside a range, and one narrow row a range carries its last image
+    and last group start to the next. Images of unknown time (0) are a group each.
     """
     order = F.struct("date_taken", "id")
-    rows = images.select("id", "parent_path", "date_taken", F.floor(F.col("date_taken") / bucket_ms).alias("bucket"))
+    rows = images.select("id", "parent_path", "date_taken").repartitionByRange("date_taken", "id").withColumn("bucket", F.spark_partition_id())
+    rows = written(rows, "burst-ranges")
     inside = Window.partitionBy("bucket").orderBy("date_taken", "id")
     seen = F.struct("date_taken", "id", "parent_path")
     ends = rows.groupBy("bucket").agg(F.max_by(seen, order).alias("last"))
@@ -40,9 +38,9 @@ def burst_rows(images: DataFrame, gap_ms: int = 3000, bucket_ms: int = BUCKET_MS
     return rows.select("id", "parent_path", "date_taken", "group")
 
 
-def bursts(images: DataFrame, gap_ms: int = 3000, bucket_ms: int = BUCKET_MS) -> DataFrame:
+def bursts(images: DataFrame, gap_ms: int = 3000) -> DataFrame:
     """Groups of two or more images (see :func:`burst_rows`)."""
-    out = burst_rows(images, gap_ms, bucket_ms).groupBy("group").agg(F.count("*").alias("n"), F.min("parent_path").alias("folder"), F.min("date_taken").alias("first_taken"), F.max("date_taken").alias("last_taken")).where("n >= 2")
+    out = burst_rows(images, gap_ms).groupBy("group").agg(F.count("*").alias("n"), F.min("parent_path").alias("folder"), F.min("date_taken").alias("first_taken"), F.max("date_taken").alias("last_taken")).where("n >= 2")
     return out.select(F.col("group.id").alias("first_id"), "n", "folder", "first_taken", "last_taken")
 
 
@@ -141,6 +139,17 @@ def within(rows: DataFrame, key: str, *order: Column | str) -> DataFrame:
     return out.join(own, key).withColumn("position", F.col("place") - F.col("_first")).drop("place", "_first")
 
 
+def sync_list(rows: DataFrame) -> DataFrame:
+    """(id, kind, last_modified, place) as a device is told: images, latest first, then videos, latest first; equal times by id.
+
+    An id has the place of its first occurrence and the values of its last, so a video whose id an image has takes the image's place. Places number what is left, so they are dense over both parts.
+    """
+    part = F.when(F.col("type") == 2, 1).otherwise(0)
+    both = rows.where("type in (1, 2)").select("id", "type", "last_modified", part.alias("part"), F.struct(part.alias("p"), (-F.col("last_modified")).alias("t"), "id").alias("slot"))
+    one = both.groupBy("id").agg(F.min("slot").alias("slot"), F.max_by(F.struct("type", "last_modified"), F.struct("part", (-F.col("last_modified")).alias("t"))).alias("v"))
+    return placed(one.select("id", F.col("v.type").alias("type"), F.col("v.last_modified").alias("last_modified"), "slot"), "slot").drop("slot")
+
+
 def searched(rows: DataFrame, text: str, column: str = "filename") -> DataFrame:
     """Names containing ``text`` in any case (nothing is a wildcard); those that start with it have rank 0."""
     name, wanted = F.lower(column), text.lower()

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from mediacat.plans import catalog_queries as q
-from mediacat.plans import change_queries, tree_queries  # noqa: F401
+from mediacat.plans import change_queries, more_queries, tree_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
