@@ -357,7 +357,7 @@ def linked_classes(
         groups = written(components(edges, f"{name}-groups").select("id", F.col("component").alias("grp")), f"{name}-grouped")
         own = [c for c in fine.columns if c != "id"]
         rows = left.select("id", "component").distinct().join(groups, "id").join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
-        cells = chunked(rows, "grp", CHUNK // 16).join(fine.select("id", *[F.col(c).alias(f"near_{c}") for c in own]), "id").join(written(lines_of(fine.select("id")), f"{name}-within"), "id")
+        cells = chunked(rows, "grp", CHUNK // 4).join(fine.select("id", *[F.col(c).alias(f"near_{c}") for c in own]), "id").join(written(lines_of(fine.select("id")), f"{name}-within"), "id")
         part = F.pmod(F.xxhash64("cell"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int")
         cells = cells.select(part.alias("part"), "cell", "id", "component", "chunk", *[f"near_{c}" for c in own], "line")
         return cells.groupBy("part").applyInArrow(_linked_within(near, alike, len(own)), "a long, b long").distinct()
