@@ -40,8 +40,8 @@ def prefixes(text: str | Column) -> Column:
 
 
 def like_pattern(column: str, query: str) -> Column:
-    """Substring search in which % and _ of the query are wildcards, folding ASCII only."""
-    folded = query.translate(str.maketrans(UPPER, LOWER))
+    """Substring search in which % and _ of the query are wildcards and nothing else is special, folding ASCII only."""
+    folded = query.translate(str.maketrans(UPPER, LOWER)).replace("\\", "\\\\")
     return ascii_fold(column).like(f"%{folded}%")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,3 +89,15 @@ def replace_embeddings(change: Change, embeddings: DataFrame) -> None:
     fresh = embeddings.where("embedding is not null").select("id", F.col("embedding").alias("_e"))
     change.upsert("faces", faces.join(fresh, "id").withColumn("embedding", F.col("_e")).select(faces.columns))
     change.clear("anchors")
+
+
+def write_back(change: Change, name: str, fresh: DataFrame) -> None:
+    """A cached listing becomes ``fresh``: rows that are new or differ are upserted, rows that are gone are deleted, the rest is not
+    written."""
+    cached, key = change.read(name), change.table(name)["key"]
+    names = cached.columns
+    same = [F.col(f"f.{c}").eqNullSafe(F.col(f"c.{c}")) for c in names]
+    held = fresh.select(names).alias("f").join(cached.alias("c"), [F.col(f"f.{k}") == F.col(f"c.{k}") for k in key], "left")
+    changed = held.where(~reduce(Column.__and__, same)).select("f.*")
+    change.upsert(name, changed)
+    change.delete(name, cached.join(fresh.select(key), key, "left_anti"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.kinds import GIF, RAW, VIDEO
 from ..functions.text import ancestors, name_of, prefixes
 from ..work import written
 
@@ -156,3 +157,22 @@ def custom_order(dirs: DataFrame, order: str, separator: str = "|||") -> DataFra
     """Position in a stored list of paths; folders that are not listed follow, by path."""
     listed = F.array_position(F.split(F.lit(order), r"\|\|\|" if separator == "|||" else separator), F.col("path"))
     return dirs.select("path", F.when(listed > 0, listed).otherwise(F.lit(1 << 30)).cast("long").alias("rank")).orderBy("rank", "path")
+
+
+def parsed_covers(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Covers (path, tmb, ord) of rows of JSON text, each a list of {path, tmb}; a row that is no such list has none."""
+    listed = F.from_json(column, "array<struct<path:string,tmb:string>>")
+    return lines.select(F.posexplode(listed).alias("ord", "c")).select("c.path", "c.tmb", "ord").where("path is not null and tmb is not null")
+
+
+#: Albums by type, and by part of a path in any case.
+ALBUM_TYPES = {"smart_album_videos": VIDEO, "smart_album_gifs": GIF, "smart_album_raw": RAW}
+ALBUM_PARTS = {"smart_album_screenshots": "/screenshots", "smart_album_downloads": "/download", "smart_album_camera": "/dcim/camera"}
+
+
+def smart_albums(media: DataFrame) -> DataFrame:
+    """(album, and the columns of the media) for each album that a medium is in; one look at each row."""
+    rules = [(name, F.col("type") == kind) for name, kind in ALBUM_TYPES.items()]
+    rules += [(name, F.contains(F.lower("full_path"), F.lit(part))) for name, part in ALBUM_PARTS.items()]
+    own = F.filter(F.array(*[F.when(rule, name) for name, rule in rules]), lambda x: x.isNotNull())
+    return media.select(F.explode(own).alias("album"), *media.columns)

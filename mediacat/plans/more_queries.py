@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import imaging, kinds
-from ..operators import folders, sequences, suggest
+from ..operators import changes, folders, scan, sequences, suggest, textindex
+from ..sources import archives, sinks
 from ..sources.catalog import EXCLUDED, INCLUDED, NOMEDIA, PINNED, ROOT, Catalog
-from ..sources.store import Store
+from ..sources.store import Store, stored
 from ..streaming import bursts
 from ..work import work_dir
 from .catalog_queries import SQL, _sub_centroids_sql, listed, query
@@ -150,3 +152,111 @@ def _by_local_day(c: Catalog) -> DataFrame:
 
 
 query("DT1_local_days", "SELECT id, floor(last_modified / 86400000)::bigint * 86400000 AS day, false AS next_in, true AS self_in FROM media")(_by_local_day)
+
+# ---------------------------------------------------------------- text by index
+
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _searched(c: Catalog, tokens: list[str], every: bool) -> DataFrame:
+    """The whole recognised texts come in two batches, the second of which holds all; the index takes what is new."""
+    index = textindex.TextIndex(Store(c.spark, work_dir(c.spark, "text-index")))
+    index.add(c.whole_ocr.where("crc32(path) % 2 = 0"))
+    index.add(c.whole_ocr)
+    return index.search(tokens, every)
+
+
+query("U1_indexed_any", f"SELECT path FROM whole_ocr WHERE {_FOLDED} LIKE '%license%' OR {_FOLDED} LIKE '%th_the%'")(lambda c: _searched(c, ["License", "th_the"], False))
+query("U2_indexed_all", f"SELECT path FROM whole_ocr WHERE {_FOLDED} LIKE '%license%' AND {_FOLDED} LIKE '%th%er%' AND {_FOLDED} LIKE '%z%'")(lambda c: _searched(c, ["LICENSE", "th%er", "z"], True))
+
+# ---------------------------------------------------------------- archives
+
+
+def _archived(c: Catalog) -> DataFrame:
+    """Entries (archive, name, content) of archives of face crops: a page shows the person of its nation, five people make an archive."""
+    k = F.col("page_id") % 25
+    crops = c.read("pages").select(F.floor(k / 5).cast("string").alias("archive"), k.alias("key"), F.concat(F.lit("crops/"), F.col("page_id").cast("string")).alias("name"), F.col("html").alias("content"))
+    people = crops.join(c.read("nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("person")), "key")
+    by_person = people.groupBy("archive", "key", "person").agg(F.array_join(F.transform(F.sort_array(F.collect_list("name")), lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ",").alias("crops"))
+    one = F.concat(F.lit('{"name":" '), "person", F.lit('","folder":"f'), F.col("key").cast("string"), F.lit('","crops":['), "crops", F.lit("]}"))
+    manifests = by_person.groupBy("archive").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("key", one.alias("t")))), lambda x: x["t"]), ",").alias("t"))
+    manifests = manifests.select("archive", F.lit("manifest.json").alias("name"), F.concat(F.lit('{"people":['), "t", F.lit("]}")).alias("content"))
+    return crops.select("archive", "name", "content").unionByName(manifests)
+
+
+def _imported(c: Catalog) -> DataFrame:
+    """The archives are imported twice; the second time adds nothing."""
+    store = stored(c.spark, work_dir(c.spark, "import-store"), {"persons": (c.persons, ("id",))})
+    store.create("crops", StructType().add("archive", "string").add("crop", "string").add("person_id", "long").add("digest", "string"), "archive", "crop", "person_id")
+    store.create("import_manifests", StructType().add("manifest_hash", "string").add("imported_at", "long").add("person_count", "long"), "manifest_hash")
+    written_archives = archives.write_archives(_archived(c), work_dir(c.spark, "archives"))
+    at = c.spark.createDataFrame([(r.archive,) for r in written_archives.collect()], "archive string")
+    for now in (1, 2):
+        with store.change() as change:
+            archives.import_people(change, at, now)
+    persons = store.read("persons")
+    names = persons.select("id", F.col("name").alias("detail"))
+    crops = store.read("crops").select(F.lit("crop").alias("kind"), F.col("crop").alias("item"), F.col("person_id").alias("id"), "digest").join(names, "id").select("kind", "item", F.concat_ws(" ", "detail", "digest").alias("value"))
+    people = persons.select(F.lit("person"), F.col("id").cast("string"), "name")
+    return crops.union(people).union(store.read("import_manifests").select(F.lit("manifest"), "manifest_hash", F.concat_ws(" ", "person_count", "imported_at")))
+
+
+query(
+    "S23_archive_import",
+    """WITH c AS (SELECT page_id % 25 // 5 AS archive, page_id % 25 AS key, 'crops/' || page_id AS name, html, n_name AS person FROM pages JOIN nation ON n_nationkey = page_id % 25),
+    p AS (SELECT archive, key, person, string_agg('"' || name || '"', ',' ORDER BY name) AS crops FROM c GROUP BY ALL), m AS (SELECT sha256('{"people":[' || string_agg('{"name":" ' || person || '","folder":"f' || key || '","crops":[' || crops || ']}', ',' ORDER BY key) || ']}') AS hash, count(*) AS n FROM p GROUP BY archive),
+    s AS (SELECT id, name FROM persons UNION ALL SELECT (SELECT max(id) FROM persons) + row_number() OVER (ORDER BY person), person FROM (SELECT DISTINCT person FROM c) WHERE person NOT IN (SELECT name FROM persons))
+    SELECT 'crop' AS kind, name AS item, person || ' ' || sha256(html) AS value FROM c UNION ALL SELECT 'person', id::varchar, name FROM s UNION ALL SELECT 'manifest', hash, n || ' 1' FROM m""",
+)(_imported)
+
+
+# ---------------------------------------------------------------- albums, covers, favourites, caches
+
+
+query(
+    "F17_all_albums",
+    """SELECT album, count(*) AS n, sum(size)::bigint AS size FROM (SELECT unnest(list_filter([CASE WHEN type = 2 THEN 'smart_album_videos' END, CASE WHEN type = 4 THEN 'smart_album_gifs' END, CASE WHEN type = 8 THEN 'smart_album_raw' END,
+    CASE WHEN full_path ILIKE '%/screenshots%' THEN 'smart_album_screenshots' END, CASE WHEN full_path ILIKE '%/download%' THEN 'smart_album_downloads' END, CASE WHEN full_path ILIKE '%/dcim/camera%' THEN 'smart_album_camera' END], lambda x: x IS NOT NULL)) AS album, size FROM clean) GROUP BY 1""",
+)(lambda c: folders.smart_albums(listed(c)).groupBy("album").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
+
+
+def _covers_as_json(c: Catalog) -> DataFrame:
+    """Each folder's cover is stored as a list of one, in a text of its own; some texts are no lists."""
+    last = c.media.groupBy(F.col("parent_path").alias("path")).agg(F.max("full_path").alias("tmb"))
+    text = F.when(F.length("path") % 5 != 0, F.to_json(F.array(F.struct("path", "tmb")))).otherwise("{broken")
+    return folders.rollup(listed(c), covers=folders.parsed_covers(last.select(text.alias("value"))), files=c.media).select("path", "thumbnail")
+
+
+query(
+    "JS1_album_covers",
+    """SELECT r.path, CASE WHEN crc.good THEN crc.last ELSE r.thumbnail END AS thumbnail FROM rolled r JOIN (SELECT parent_path AS path, max(full_path) AS last, length(parent_path) % 5 <> 0 AS good FROM media GROUP BY 1) crc USING (path)""",
+)(_covers_as_json)
+
+
+def _favorites_file(c: Catalog) -> DataFrame:
+    """The favourites are written as text, a path a line, with lines for files that are not there, and read as another catalog's."""
+    at = work_dir(c.spark, "favorites-text")
+    lines = sinks.favorites_lines(c.favorites)
+    sinks.write_lines(lines.unionByName(lines.select(F.concat("value", F.lit(".gone")).alias("value"))).unionByName(lines.where("crc32(value) % 3 = 0")), at)
+    return scan.imported_favorites(c.spark, at, c.media)
+
+
+query("S24_favorites_file", "SELECT full_path, filename, parent_path FROM favorites")(_favorites_file)
+
+
+def _caches(c: Catalog) -> DataFrame:
+    """Caches of an older state: every eleventh medium is missing, every seventh has another size, and files and folders that are gone."""
+    fresh = listed(c).select("id", "full_path", "parent_path", "size", "type", "last_modified", "date_taken")
+    over = folders.rollup(listed(c))
+    old = fresh.where("id % 11 <> 0").withColumn("size", F.when(F.col("id") % 7 == 0, -1).otherwise(F.col("size")).cast("long"))
+    old = old.unionByName(fresh.where("id % 13 = 0").withColumn("full_path", F.concat("full_path", F.lit(".gone"))))
+    gone = over.withColumn("path", F.concat("path", F.lit("/gone")))
+    store = stored(c.spark, work_dir(c.spark, "caches"), {"media": (old, ("full_path",)), "directories": (over.where("media_count % 2 = 0").unionByName(gone), ("path",))})
+    with store.change() as change:
+        changes.write_back(change, "media", fresh)
+        changes.write_back(change, "directories", over)
+    media = store.read("media").select(F.lit("media").alias("kind"), F.col("full_path").alias("path"), "size")
+    return media.unionByName(store.read("directories").select(F.lit("directories").alias("kind"), "path", "size"))
+
+
+query("Z6_caches_written", "SELECT 'media' AS kind, full_path AS path, size FROM clean UNION ALL SELECT 'directories', path, size FROM dirs")(_caches)
