@@ -272,8 +272,9 @@ def linked_classes(
        columns in numpy, in blocks; pairs that are no candidates are never rows. A bucket of more than CHUNK members is dealt
        out as pairs of chunks.
 
-    If ``texts`` is given, (id, line) of some ids, and whether two lines are linked, step 3 makes no rows of pairs: open buckets
-    that share ids are one group, whose ids, with their lines, are dealt out as pairs of chunks and compared there.
+    If ``texts`` is given, (id, line) of some ids, and whether two lines are linked, step 3 makes no rows of pairs: the members of an
+    open bucket, with their lines, are dealt to its cells and compared there. A line is copied once for each of its open buckets, and
+    once more for each further chunk of a bucket of more than CHUNK / 4 members.
     For the ids in open buckets ``refine`` may give finer columns (by id), which ``near`` gets after the others.
     Entries are packed by the key's part before they are shuffled, so a key costs 16 bytes and no row of its own.
     Returns (id, component) of the linked ids, and the links (a, b).
@@ -352,12 +353,8 @@ def linked_classes(
     def compared(left: DataFrame, fine: DataFrame) -> DataFrame:
         """Links across the components of open buckets."""
         lines_of, alike = texts
-        low = left.groupBy("key").agg(F.min("id").alias("b"))
-        edges = left.join(low, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
-        groups = written(components(edges, f"{name}-groups").select("id", F.col("component").alias("grp")), f"{name}-grouped")
         own = [c for c in fine.columns if c != "id"]
-        rows = left.select("id", "component").distinct().join(groups, "id").join(groups.groupBy("grp").agg(F.count("*").alias("n")), "grp")
-        cells = chunked(rows, "grp", CHUNK // 4).join(fine.select("id", *[F.col(c).alias(f"near_{c}") for c in own]), "id").join(written(lines_of(fine.select("id")), f"{name}-within"), "id")
+        cells = chunked(left.select("id", "component", "key", "n"), "key", CHUNK // 4).join(fine.select("id", *[F.col(c).alias(f"near_{c}") for c in own]), "id").join(written(lines_of(fine.select("id")), f"{name}-within"), "id")
         part = F.pmod(F.xxhash64("cell"), F.lit(4 * int(spark.conf.get("spark.sql.shuffle.partitions")))).cast("int")
         cells = cells.select(part.alias("part"), "cell", "id", "component", "chunk", *[f"near_{c}" for c in own], "line")
         return cells.groupBy("part").applyInArrow(_linked_within(near, alike, len(own)), "a long, b long").distinct()
