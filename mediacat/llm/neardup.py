@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .linking import bits_apart, linked_classes, thinned
 from .shared import discard, mix64, shingles, string_slices, word_hashes, written
 
+#: Bytes of text that a task takes apart at a time, which bounds the arrays made of them.
+SLICE_BYTES = 1 << 18
+
 #: 40 bands of 6 values; 120 permutations give 240 values. A pair at a similarity of 0.8 is missed once in 190,000.
 BANDS, ROWS = 40, 6
 
@@ -25,7 +28,7 @@ _PERMUTED = _random.integers(0, 1 << 31, (2, BANDS * ROWS // 2 + FINE), dtype=np
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
     """First row and sorted distinct shingle hashes of each text, some MB at a time."""
-    for first, _, data, offsets in string_slices(column):
+    for first, _, data, offsets in string_slices(column, SLICE_BYTES):
         words, places = word_hashes(data, offsets)
         hashes, at = shingles(words, places, k)
         yield first, [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
