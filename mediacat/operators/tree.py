@@ -17,6 +17,11 @@ from ..work import written
 BIN, FAVORITES = "recycle_bin", "favorites"
 
 
+def _met(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """A join by shuffles: what is exploded, or read from small files, is many times larger than the size by which Spark would broadcast it."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def folder_above(path: str | Column) -> Column:
     """The folder that a path lies in; "/" for the topmost, null for "/" itself and for names without a folder."""
     path = F.col(path) if isinstance(path, str) else path
@@ -50,19 +55,19 @@ def _absorbed(rows: DataFrame, made: DataFrame, descending: bool, in_order: bool
     """
     by_key = made.groupBy("key").agg(F.count("*").alias("n"), F.min("trigger").alias("t"))
     up = rows.select("path", F.posexplode(_folders_above("path")).alias("level", "a")).withColumn("key", F.lower("a"))
-    chain = up.join(by_key, "key").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("level", "key", "n", "t"))).alias("c"))
+    chain = _met(up, by_key, "key").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("level", "key", "n", "t"))).alias("c"))
     late = (lambda x, i: F.coalesce(F.get("c", i - 1)["t"] >= x["t"], F.lit(False))) if in_order else (lambda x, i: F.lit(False))
     ends = F.array_position(F.transform("c", lambda x, i: (x["level"] != i) | late(x, i)), True)
     chain = chain.withColumn("c", F.slice("c", F.lit(1), F.when(ends > 0, ends.cast("int") - 1).otherwise(F.size("c"))))
     weight = lambda i: F.aggregate(F.slice("c", F.lit(1), i), F.lit(1).cast("long"), lambda s, y: s * y["n"])
     parts = chain.select("path", F.explode(F.transform("c", lambda x, i: F.struct(x["key"].alias("key"), i.alias("level"), weight(i).alias("w")))).alias("p")).select("path", "p.*")
     pick = F.max if descending else F.min
-    total = rows.join(parts, "path").groupBy("key").agg(
+    total = _met(rows, parts, "path").groupBy("key").agg(
         F.min_by("thumbnail", F.when(F.col("level") == 0, F.col("place"))).alias("thumbnail"),
         F.sum(F.col("media_count") * F.col("w")).alias("media_count"), F.sum(F.col("size") * F.col("w")).alias("size"), F.bit_or("media_types").alias("media_types"),
         pick("last_modified").alias("last_modified"), pick("date_taken").alias("date_taken"),
     )
-    return made.join(total, "key").withColumn("has_media", F.lit(False)).select(rows.columns)
+    return _met(made, total, "key").withColumn("has_media", F.lit(False)).select(rows.columns)
 
 
 def with_parents(dirs: DataFrame, descending: bool = True) -> DataFrame:
@@ -70,12 +75,14 @@ def with_parents(dirs: DataFrame, descending: bool = True) -> DataFrame:
 
     Which are made depends on the listed folders alone, but a made one lies in the next above as any other does: counts and sizes add up,
     types are or-ed, times are the latest of the children (the earliest unless ``descending``), the thumbnail is the first child's. The
-    number of children is counted by the exact path, all else ignores case.
+    number of children is counted by the exact path, all else ignores case. The folders are written first: they are read several times, and
+    rolling them up reads all media.
     """
-    rows = dirs if "place" in dirs.columns else listed(dirs)
+    rows = written(dirs if "place" in dirs.columns else listed(dirs), "listed-folders")
     own = rows.select(F.lower("path").alias("key")).distinct()
     made = rows.select(folder_above("path").alias("parent"), F.struct(F.col("place.a").alias("a"), "path").alias("first")).where("parent is not null")
-    made = made.groupBy("parent").agg(F.count("*").alias("n"), F.min("first").alias("first")).where("n > 1").withColumn("key", F.lower("parent")).join(own, "key", "left_anti")
+    made = made.groupBy("parent").agg(F.count("*").alias("n"), F.min("first").alias("first")).where("n > 1").withColumn("key", F.lower("parent"))
+    made = _met(made, own, "key", "left_anti")
     place = F.struct(F.lit(1).alias("kind"), (-F.length("parent")).cast("long").alias("a"), F.col("first.a").alias("b"), F.col("first.path").alias("c"))
     made = made.select("key", F.col("parent").alias("path"), place.alias("place"), F.lit(None).cast("string").alias("trigger"))
     return rows.unionByName(_absorbed(rows, made, descending, in_order=False))
@@ -87,15 +94,17 @@ def collapsed(rows: DataFrame, prefix: str = "", descending: bool = True) -> Dat
     Inside ``prefix``: the folders that lie directly in it. At the top a folder whose parent is listed, or that has a listed sibling, gives
     way to the parent; a parent that is not listed is made, once, when the first such folder by path is looked at. One that is made
     later includes it, one made before does not. Bin and favourites stay at the top. A folder that stays has neither a listed
-    parent nor a sibling, so none of those that are left lies directly in another, and one round is all rounds.
+    parent nor a sibling, so none of those that are left lies directly in another, and one round is all rounds. The folders are written
+    first, as in :func:`with_parents`.
     """
+    rows = written(rows, "folders")
     special = F.col("path").isin(BIN, FAVORITES)
     found = rows.withColumn("key", F.lower("path")).withColumn("above", folder_above("path")).withColumn("up", F.lower("above"))
     if prefix:
         return found.select(*rows.columns, F.coalesce(~special & (F.col("up") == prefix.lower()), F.lit(False)).alias("kept"))
     siblings = found.where("up is not null").groupBy("up").agg(F.count_distinct("key").alias("n"))
     keys = found.select(F.col("key").alias("up"), F.lit(True).alias("parent_listed")).distinct()
-    found = found.join(siblings, "up", "left").join(keys, "up", "left")
+    found = _met(_met(found, siblings, "up", "left"), keys, "up", "left")
     gone = ~special & (F.coalesce("parent_listed", F.lit(False)) | F.coalesce(F.col("n") > 1, F.lit(False)))
     made = found.where(gone & F.col("parent_listed").isNull()).groupBy(F.col("up").alias("key")).agg(F.min("path").alias("trigger"))
     place = F.struct(F.lit(2).alias("kind"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.col("trigger").alias("c"))
@@ -116,14 +125,14 @@ def subfolder_counts(children: DataFrame, parents: DataFrame) -> DataFrame:
     ends = parents.select(F.col("path").alias("parent"), F.lower("path").alias("p"), F.col("place").alias("parent_place"))
     starts = own.select("path", F.posexplode(prefixes("key")).alias("at", "p"))
     order = F.struct((F.col("parent") != F.col("path")).alias("other"), (-F.col("at")).alias("n"), "parent_place")
-    goes = starts.join(ends, "p").groupBy("path").agg(F.min_by("parent", order).alias("parent"))
+    goes = _met(starts, ends, "p").groupBy("path").agg(F.min_by("parent", order).alias("parent"))
     among = own.select(F.col("key").alias("up"), F.lit(True).alias("above_listed")).distinct()
-    goes = own.join(goes, "path").join(among, "up", "left")
+    goes = _met(_met(own, goes, "path"), among, "up", "left")
     goes = goes.where((F.lower("parent") == F.col("key")) | (F.lower("parent") == F.col("up")) | F.col("above_listed"))
     total = goes.groupBy("parent").agg(
         F.count_if("has_media").alias("subfolders"), F.sum(F.when(F.col("parent") != F.col("path"), F.col("media_count")).otherwise(0)).alias("more")
     )
-    out = parents.join(total.withColumnRenamed("parent", "path"), "path", "left")
+    out = _met(parents, total.withColumnRenamed("parent", "path"), "path", "left")
     media = F.when(F.col("has_media"), F.col("media_count")).otherwise(0) + F.coalesce("more", F.lit(0))
     return out.select(*parents.columns, F.coalesce("subfolders", F.lit(0)).alias("subfolders"), media.alias("subfolder_media"))
 
@@ -133,11 +142,11 @@ def shown(dirs: DataFrame, all_dirs: DataFrame | None = None, prefix: str = "",
 
     Inside ``prefix`` its own folder, from ``all_dirs`` (default ``dirs``), follows the others, with one sub-folder.
     """
-    filled = written(with_parents(dirs, descending), "folders")
-    rows = written(collapsed(filled, prefix, descending), "shown")
+    own = written(listed(dirs), "own-folders") if prefix and all_dirs is None else listed(dirs)
+    rows = written(collapsed(with_parents(own, descending), prefix, descending), "shown")
     out = subfolder_counts(rows, rows.where("kept").drop("kept"))
     if prefix:
-        own = listed(dirs if all_dirs is None else all_dirs).where(F.lower("path") == prefix.lower())
+        own = (own if all_dirs is None else listed(all_dirs)).where(F.lower("path") == prefix.lower())
         own = own.groupBy().agg(F.min_by(F.struct(*own.columns), "place").alias("r")).where("r is not null").select("r.*")
         out = out.unionByName(own.withColumn("subfolders", F.lit(1).cast("long")).withColumn("subfolder_media", F.col("media_count")))
     return out

@@ -146,3 +146,17 @@ def test_random_trees(spark):
         paths = list(paths)
         draw.shuffle(paths)
         check(spark, made_up(paths, draw), descending=round_ % 2 == 0)
+
+
+@pytest.mark.parametrize("prefix", ["", "/a"])
+def test_folders_are_rolled_up_once(spark, prefix):
+    looked = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            looked.add(batch.num_rows)
+            yield batch
+
+    dirs = table(spark, made_up(CASES[0], random.Random(1)))
+    tree.shown(dirs.mapInArrow(count, dirs.schema), prefix=prefix).collect()
+    assert looked.value == len(CASES[0])
