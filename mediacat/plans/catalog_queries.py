@@ -449,7 +449,12 @@ query("Z3_favorites_lines", "SELECT full_path AS value FROM favorites")(lambda c
 query("Z5_new_files", "SELECT id, full_path FROM media UNION ALL SELECT id + 1000000, regexp_replace(full_path, '\\.[^.]*$', '') || '_1.' || regexp_extract(full_path, '[^.]*$') FROM media WHERE id % 9 = 0")(
     lambda c: sinks.appended(c.media, c.media.where("id % 9 = 0").withColumn("id", F.col("id") + 1_000_000)).select("id", "full_path")
 )
-query("Z6_write_back", "SELECT parent_path AS path, count(*) AS media_count FROM clean GROUP BY 1 UNION ALL SELECT DISTINCT parent_path || '/old', 0::bigint FROM media")(
+# an upsert takes no row away: cached folders that show nothing any more keep the 0 of the cache
+query(
+    "Z6_write_back",
+    """SELECT parent_path AS path, count(*) AS media_count FROM clean GROUP BY 1 UNION ALL SELECT DISTINCT parent_path || '/old', 0::bigint FROM media
+    UNION ALL SELECT DISTINCT parent_path, 0::bigint FROM media WHERE parent_path NOT IN (SELECT parent_path FROM clean)""",
+)(
     lambda c: mutate.upsert(c.media.select(F.concat("parent_path", F.lit("/old")).alias("path")).unionByName(c.media.select(F.col("parent_path").alias("path"))).distinct().withColumn("media_count", F.lit(0).cast("long")), dirs(c), "path")
 )
 
