@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..sources.store import Store
+from ..work import CLEANUP, discard, setting, work_dir, written
+
+#: Files that a chunk's rows are dealt to at most.
+TASKS_A_CHUNK = 8
 
 
 class Busy(Exception):
@@ -108,24 +112,43 @@ class Indexer:
         failed = self.store.read(f"{self.name}_failed").where(F.col("attempts") >= self.attempts).select(self.key)
         return source.where(F.col(self.key).isNotNull()).join(done.unionByName(failed), self.key, "left_anti")
 
+    def _dealt(self, source: DataFrame) -> tuple[DataFrame, int]:
+        """What is to do, with the attempts before (``_tried``), written by chunk, and the number of chunks.
+
+        Source and tables are read once a run, whatever the number of chunks, and a chunk reads its own files only. Nobody else changes the
+        tables meanwhile: the run has the lease.
+        """
+        before = self.store.read(f"{self.name}_failed").select(self.key, F.col("attempts").alias("_tried"))
+        todo = self.todo(source).join(before, self.key, "left").withColumn("_tried", F.coalesce("_tried", F.lit(0)))
+        todo = written(todo, "todo")
+        n = todo.count()
+        chunks = max(1, -(-n // self.chunk_rows))
+        key = F.xxhash64(self.key)
+        dealt = todo.withColumn("_chunk", F.pmod(key, F.lit(chunks)).cast("int")).withColumn("_part", F.pmod(F.shiftright(key, 40), F.lit(TASKS_A_CHUNK)))
+        at = work_dir(self.store.spark, "chunks")
+        with setting(self.store.spark, CLEANUP, "true"):
+            dealt.repartition(min(n // 1000 + 1, chunks * TASKS_A_CHUNK), "_chunk", "_part").write.partitionBy("_chunk").parquet(at)
+        discard(todo)
+        return self.store.spark.read.schema(dealt.schema).parquet(at), chunks
+
     def run(self, source: DataFrame, on_chunk: Callable[[int, int], None] | None = None) -> int:
         """Returns the number of chunks committed; :class:`Busy` if another run is on."""
         spark = self.store.spark
         with lease(self.store, self.name) as renew:
             spark.sparkContext.addJobTag(self.tag)
             try:
-                chunks = max(1, -(-self.todo(source).count() // self.chunk_rows))
+                held, chunks = self._dealt(source)
                 for i in range(chunks):
                     renew()
-                    part = self.todo(source).where(F.pmod(F.xxhash64(self.key), F.lit(chunks)) == i)
+                    part = held.where(F.col("_chunk") == i).drop("_chunk", "_part")
                     with self.store.change() as change:
-                        made = self.extract(part).persist()
+                        made = self.extract(part.drop("_tried")).persist()
                         try:
                             change.upsert(self.name, made.where("error is null").drop("error"))
-                            before = change.read(f"{self.name}_failed").select(self.key, F.col("attempts").alias("n"))
+                            before = part.where("_tried > 0").select(self.key, F.col("_tried").alias("n")).distinct()
                             failed = made.where("error is not null").select(self.key, "error").join(before, self.key, "left")
                             change.upsert(f"{self.name}_failed", failed.select(self.key, (F.coalesce("n", F.lit(0)) + 1).alias("attempts"), "error"))
-                            change.delete(f"{self.name}_failed", made.where("error is null"))
+                            change.delete(f"{self.name}_failed", made.where("error is null").join(before, self.key, "left_semi"))
                         finally:
                             made.unpersist()
                     if on_chunk:
