@@ -6,8 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.text import like_pattern
 from ..work import written
@@ -83,29 +86,60 @@ def centroids(rows: DataFrame, key: str, vector: str = "embedding") -> DataFrame
 
 #: Vectors that are sent to all tasks at most; more are joined in blocks.
 CENTROID_BLOCK = 4096
+#: Numbers of a product of faces and vectors that a task holds at a time.
+AT_ONCE = 1 << 20
 
 
 def best_similarity(faces: DataFrame, vectors: DataFrame) -> DataFrame:
     """Each face with its largest similarity to one of ``vectors`` (vector).
 
-    The vectors are dealt to blocks of a bounded size, each of which is one array row; faces meet blocks, not single vectors,
-    and a block is broadcast only because its size is bounded. The vectors are written first, as counting and packing them would cluster twice.
+    Vectors of another length than the face's have similarity 0. The vectors are written first, as counting and packing them would cluster
+    twice, and dealt to blocks of a bounded number, each of which is sent to all tasks, which multiply their faces with it.
     """
-    vectors = written(vectors, "vectors")
+    vectors = written(vectors.where("vector is not null"), "vectors")
     n = vectors.count()
     blocks = max(1, -(-n // CENTROID_BLOCK))
+    faces = faces if blocks == 1 else written(faces, "faces")
+    schema = StructType([*faces.schema.fields, StructField("similarity", DoubleType())])
     out = None
     for i in range(blocks):
         part = vectors if blocks == 1 else vectors.where(F.pmod(F.xxhash64("vector"), F.lit(blocks)) == i)
-        packed = part.agg(F.collect_list("vector").alias("vs"))
-        best = F.array_max(F.transform("vs", lambda v: dot(F.col("embedding"), v)))
-        got = faces.crossJoin(F.broadcast(packed)).withColumn("similarity", best).drop("vs")
+        by_size: dict[int, list] = {}
+        for v in part.toArrow().column("vector").to_pylist():
+            by_size.setdefault(len(v), []).append(v)
+        got = faces.mapInArrow(_nearest({size: np.array(vs, np.float64).reshape(-1, size) for size, vs in by_size.items()}, faces.columns.index("embedding")), schema)
         out = got if out is None else out.unionByName(got)
     if blocks == 1:
         return out
     return out.groupBy(*[c for c in faces.columns if c != "embedding"]).agg(F.max("similarity").alias("similarity"), F.first("embedding").alias("embedding"))
 
 
+def _nearest(by_size: dict[int, np.ndarray], at: int):
+    """Adds to batches the largest product of the vector in column ``at`` with one of the given ones; null without any that can be compared."""
+    n = sum(len(v) for v in by_size.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            sizes = np.array(pc.list_value_length(column).fill_null(-1))
+            best, known = np.zeros(len(sizes)), np.full(len(sizes), n > 0)
+            for size, own in by_size.items():
+                rows = np.flatnonzero(sizes == size)
+                step = max(1, AT_ONCE // max(len(own), size))
+                for part in (rows[i : i + step] for i in range(0, len(rows), step)):
+                    flat = column.take(pa.array(part)).flatten()
+                    missing = np.array(flat.is_null()).reshape(len(part), size).any(1)
+                    found = (np.array(flat.cast(pa.float64()).fill_null(0.0)).reshape(len(part), size) @ own.T).max(1)
+                    if len(own) < n:  # others have another length
+                        found = np.where(missing, 0.0, np.maximum(found, 0.0))
+                    else:
+                        known[part[missing]] = False
+                    best[part] = found
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, mask=~known)], names=[*batch.schema.names, "similarity"])
+
+    return run
+
+
 def sub_centroids(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Sub-centroids of each person (person_id, ord, embedding) by greedy clustering in the order of ``ord``.
 
@@ -115,25 +149,27 @@ def sub_centroids(rows: DataFrame, threshold: float = 0.6) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        person, means, counts = None, [], []
+        person, means, counts = None, np.zeros((0, 0)), []  # more rows of means than clusters, as they grow by doubling
 
         def done() -> pd.DataFrame:
-            return pd.DataFrame({"person_id": [person] * len(counts), "cluster": list(range(len(counts))), "n": counts, "centroid": [m.tolist() for m in means]})
+            return pd.DataFrame({"person_id": [person] * len(counts), "cluster": list(range(len(counts))), "n": counts, "centroid": means[: len(counts)].tolist()})
 
         for batch in batches:
             for p, v in zip(batch.person_id, batch.embedding, strict=True):
                 if p != person and counts:
                     yield done()
-                    means, counts = [], []
+                    means, counts = np.zeros((0, 0)), []
                 person, v = p, np.asarray(v, np.float64)
-                near = [float(m @ v) for m in means]
-                k = int(np.argmax(near)) if near else -1
-                if near and near[k] > threshold:
+                near = means[: len(counts)] @ v if counts else None
+                k = int(np.argmax(near)) if counts else -1
+                if counts and near[k] > threshold:
                     moved = means[k] * counts[k] + v
                     means[k] = moved / max(float(np.linalg.norm(moved)), 1e-9)
                     counts[k] += 1
                 else:
-                    means.append(v)
+                    if len(counts) == len(means):
+                        means = np.concatenate([means, np.zeros_like(means)]) if counts else np.zeros((4, len(v)))
+                    means[len(counts)] = v
                     counts.append(1)
         if counts:
             yield done()
