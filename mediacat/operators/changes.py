@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.imaging import capture_ms
 from ..functions.text import name_of, parent_of
 from ..sources.store import Change
+from ..work import written
 
 # Tables and keys: assignments (face_id), cannot_links (face_id, person_id), anchors (id), persons (id), ignored (face_id),
 # faces (id), media (full_path), favorites (full_path), date_takens (full_path)
@@ -93,11 +94,14 @@ def replace_embeddings(change: Change, embeddings: DataFrame) -> None:
 
 def write_back(change: Change, name: str, fresh: DataFrame) -> None:
     """A cached listing becomes ``fresh``: rows that are new or differ are upserted, rows that are gone are deleted, the rest is not
-    written."""
+    written. Both meet once, and what differs is written before it is applied."""
     cached, key = change.read(name), change.table(name)["key"]
     names = cached.columns
     same = [F.col(f"f.{c}").eqNullSafe(F.col(f"c.{c}")) for c in names]
-    held = fresh.select(names).alias("f").join(cached.alias("c"), [F.col(f"f.{k}") == F.col(f"c.{k}") for k in key], "left")
-    changed = held.where(~reduce(Column.__and__, same)).select("f.*")
-    change.upsert(name, changed)
-    change.delete(name, cached.join(fresh.select(key), key, "left_anti"))
+    held = fresh.select(*names, F.lit(True).alias("_in")).alias("f").join(cached.withColumn("_in", F.lit(True)).alias("c"), [F.col(f"f.{k}") == F.col(f"c.{k}") for k in key], "full")
+    new, gone = F.col("f._in").isNotNull(), F.col("f._in").isNull()
+    cells = [F.when(new, F.col(f"f.{c}")).otherwise(F.col(f"c.{c}")).alias(c) for c in names]
+    found = held.where(gone | F.col("c._in").isNull() | ~reduce(Column.__and__, same)).select(*cells, gone.alias("_out"))
+    found = written(found, "differences")
+    change.upsert(name, found.where("not _out").drop("_out"))
+    change.delete(name, found.where("_out"))

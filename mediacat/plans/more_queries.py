@@ -11,8 +11,8 @@ from ..operators import changes, folders, scan, sequences, suggest, textindex
 from ..sources import archives, sinks
 from ..sources.catalog import EXCLUDED, INCLUDED, NOMEDIA, PINNED, ROOT, Catalog
 from ..sources.store import Store, stored
-from ..streaming import bursts
-from ..work import work_dir
+from ..streaming import bursts, ingest
+from ..work import work_dir, written
 from .catalog_queries import SQL, _sub_centroids_sql, listed, query
 
 # ---------------------------------------------------------------- faces
@@ -45,15 +45,17 @@ query(
 
 
 def _streamed_bursts(c: Catalog) -> DataFrame:
-    """Images come in three files, by time; each is a batch."""
-    images = listed(c).where("type = 1").select("id", "parent_path", "date_taken")
+    """Images come three times, by time, each in files of a bounded number of rows, which the stream takes as a batch."""
+    images = written(listed(c).where("type = 1").select("id", "parent_path", "date_taken"), "burst-images")
     store = bursts.burst_store(Store(c.spark, work_dir(c.spark, "burst-store")))
     come = work_dir(c.spark, "burst-files")
+    files = ingest.files_for(images)
     low, high = images.approxQuantile("date_taken", [0.34, 0.67], 0.01)
+    check = work_dir(c.spark, "burst-check")
     for part in (F.col("date_taken") <= low, (F.col("date_taken") > low) & (F.col("date_taken") <= high), F.col("date_taken") > high):
-        images.where(part).coalesce(1).write.mode("append").parquet(come)
-    source = c.spark.readStream.schema(images.schema).option("maxFilesPerTrigger", 1).parquet(come)
-    bursts.burst_stream(source, store, work_dir(c.spark, "burst-check"), delay_ms=0, gap_ms=60_000).awaitTermination()
+        images.where(part).repartition(files, "id").write.mode("append").parquet(come)
+        source = c.spark.readStream.schema(images.schema).parquet(come)
+        bursts.burst_stream(source, store, check, delay_ms=0, gap_ms=60_000).awaitTermination()
     with store.change() as change:
         bursts.advance(change, None, 0, gap_ms=60_000, to_end=True)
     return store.read("bursts").select("first_id", "n", "folder", "first_taken", "last_taken")
@@ -246,8 +248,8 @@ query("S24_favorites_file", "SELECT full_path, filename, parent_path FROM favori
 
 def _caches(c: Catalog) -> DataFrame:
     """Caches of an older state: every eleventh medium is missing, every seventh has another size, and files and folders that are gone."""
-    fresh = listed(c).select("id", "full_path", "parent_path", "size", "type", "last_modified", "date_taken")
-    over = folders.rollup(listed(c))
+    fresh = written(listed(c).select("id", "full_path", "parent_path", "size", "type", "last_modified", "date_taken"), "fresh")
+    over = written(folders.rollup(fresh), "over")
     old = fresh.where("id % 11 <> 0").withColumn("size", F.when(F.col("id") % 7 == 0, -1).otherwise(F.col("size")).cast("long"))
     old = old.unionByName(fresh.where("id % 13 = 0").withColumn("full_path", F.concat("full_path", F.lit(".gone"))))
     gone = over.withColumn("path", F.concat("path", F.lit("/gone")))
