@@ -115,15 +115,16 @@ query("V8_embed_anew", "SELECT 'faces' AS kind, id, CASE WHEN id % 10 = 3 THEN e
 
 
 def _arrived(c: Catalog) -> Store:
-    """The media come in two files: all without a size, then some with, some of these twice. Each file is a batch."""
+    """The media come twice: all without a size, then some with, some of these twice. The stream runs each time, and takes what has come as a batch."""
     store = ingest.media_store(Store(c.spark, work_dir(c.spark, "media-store")), c.media, buckets=16)
     come = work_dir(c.spark, "media-files")
     rows = c.media.withColumn("arrival", F.lit(0)).withColumn("size", F.lit(0).cast("long"))
     again = c.media.where("id % 3 = 0").withColumn("arrival", F.lit(1)).unionByName(c.media.where("id % 15 = 0").withColumn("arrival", F.lit(2)).withColumn("size", F.col("size") + 1))
+    check, files = work_dir(c.spark, "media-stream"), ingest.files_for(c.media)
     for part in (rows, again):
-        part.coalesce(1).write.mode("append").parquet(come)
-    source = c.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(come)
-    ingest.upsert_stream(source, store, work_dir(c.spark, "media-stream"), order=F.col("arrival")).awaitTermination()
+        part.repartition(files, "full_path").write.mode("append").parquet(come)
+        source = c.spark.readStream.schema(rows.schema).parquet(come)
+        ingest.upsert_stream(source, store, check, order=F.col("arrival")).awaitTermination()
     return store
 
 

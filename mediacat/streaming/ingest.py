@@ -15,6 +15,15 @@ from ..sources.store import Change, Store
 FOLDER_OF_PATH = "regexp_replace(full_path, '/[^/]*$', '')"
 
 
+#: Rows of a file, about.
+FILE_ROWS = 250_000
+
+
+def files_for(rows: DataFrame) -> int:
+    """The number of files that rows are to come in, so that no task sees all of a large batch."""
+    return rows.count() // FILE_ROWS + 1
+
+
 def media_store(store: Store, media: DataFrame, directories: bool = True, buckets: int = 64) -> Store:
     """Creates the media table, and that of the folders, in an empty store."""
     store.create("media", media.schema, "full_path", buckets=buckets, bucket_on=FOLDER_OF_PATH)
