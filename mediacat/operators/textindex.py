@@ -147,13 +147,12 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[list]]]
     """(block, columns but the first) of each block, whose rows follow one another."""
     block, held = None, []
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for i, b in enumerate(columns[0]):
+        for i, b in enumerate(batch.column(0).to_pylist()):
             if b != block and held:
                 yield block, [list(x) for x in zip(*held, strict=True)]
                 held = []
             block = b
-            held.append([c[i] for c in columns[1:]])
+            held.append([c[i].as_py() for c in batch.columns[1:]])
     if held:
         yield block, [list(x) for x in zip(*held, strict=True)]
 
@@ -197,7 +196,8 @@ def _meeting(asked: list[Literal]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):  # one row as Python objects at a time
+                row = batch.slice(i, 1).to_pylist()[0]
                 lists = {x["gram"]: np.cumsum(np.frombuffer(x["spots"], "<u4").astype(np.int64)) for x in row["lists"]}
                 starts, docs = np.array(row["starts"], np.int64), None
                 for literal in asked:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import imaging
 from ..functions.kinds import type_of
+from ..work import short_batches
 
 ROOT = "/storage/emulated/0/"
 FOLDERS = ("DCIM/Camera", "Pictures/Screenshots", "Download", "WhatsApp/Media/.Statuses", "Android/data/com.x/stickers/", "Pictures/Trip")
@@ -31,6 +32,7 @@ class Catalog:
         self.spark, self.sf_dir, self.stream = spark, sf_dir, stream
 
     def read(self, name: str) -> DataFrame:
+        short_batches(self.spark)
         path = f"{self.sf_dir}/{name}.parquet"
         rows = self.spark.read.parquet(path)
         if not self.stream:

@@ -29,6 +29,17 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/mediacat-{name}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes that a Python worker gets at a time; Spark's 10,000 rows of whole texts or postings would be GBs.
+BATCH_ROWS, BATCH_BYTES = 2000, "16m"
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Batches for Python of a bounded size, unless the session asks for others; they are read when a query runs, so the setting stays."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 @contextmanager
 def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     """The session's setting while the block runs."""
