@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.kinds import day_start
 from ..functions.text import ascii_fold, extension_of
-from ..work import written
+from ..work import discard, written
+
+
+#: Images of a range of time, about, of which a task sorts one or a few.
+RANGE_ROWS = 250_000
 
 
 def burst_rows(images: DataFrame, gap_ms: int = 3000) -> DataFrame:
@@ -19,8 +23,12 @@ def burst_rows(images: DataFrame, gap_ms: int = 3000) -> DataFrame:
     and last group start to the next. Images of unknown time (0) are a group each.
     """
     order = F.struct("date_taken", "id")
-    rows = images.select("id", "parent_path", "date_taken").repartitionByRange("date_taken", "id").withColumn("bucket", F.spark_partition_id())
-    rows = written(rows, "burst-ranges")
+    images = written(images.select("id", "parent_path", "date_taken"), "burst-images")
+    ranges = images.count() // RANGE_ROWS + 1
+    ranges = max(ranges, int(images.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(images.repartitionByRange(ranges, "date_taken", "id").withColumn("bucket", F.spark_partition_id()), "burst-ranges")
+    discard(images)
+    rows = rows.repartition(ranges, "bucket")  # a given number, which is not lowered: a task holds one range or a few
     inside = Window.partitionBy("bucket").orderBy("date_taken", "id")
     seen = F.struct("date_taken", "id", "parent_path")
     ends = rows.groupBy("bucket").agg(F.max_by(seen, order).alias("last"))

@@ -69,3 +69,11 @@ def test_images_of_one_time_do_not_meet_in_one_task(spark):
         assert len(ranges) > 1 and max(r["count"] for r in ranges) < 15_000
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ranges_have_a_bounded_number_of_images(spark, monkeypatch):
+    """Adaptive execution does not join ranges, however few bytes they have."""
+    monkeypatch.setattr(sequences, "RANGE_ROWS", 100)
+    rows = spark.range(2000).selectExpr("id", "'a' as parent_path", "1000L as date_taken")
+    got = sequences.burst_rows(rows).selectExpr("spark_partition_id() as p").groupBy("p").count().collect()
+    assert sum(r["count"] for r in got) == 2000 and max(r["count"] for r in got) < 1000
