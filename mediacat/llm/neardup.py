@@ -16,6 +16,9 @@ from .shared import discard, mix64, shingles, string_slices, word_hashes, writte
 #: Bytes of text that a task takes apart at a time, which bounds the arrays made of them.
 SLICE_BYTES = 1 << 18
 
+#: Documents of an open bucket whose sets a task holds at a time.
+GROUP = 1 << 10
+
 #: 40 bands of 6 values; 120 permutations give 240 values. A pair at a similarity of 0.8 is missed once in 190,000.
 BANDS, ROWS = 40, 6
 
@@ -151,22 +154,27 @@ def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
             for first in range(0, batch.num_rows, 64):
                 part = batch.slice(first, 64)
                 a, b = part.column(0).to_pylist(), part.column(2).to_pylist()
-                if sum(map(len, known.values())) > 4_000_000:
+                if sum(map(len, known.values())) > 1_000_000:
                     known.clear()
                 sets_of(a, part.column(1))
                 sets_of(b, part.column(3))
                 linked = []
                 for x, y in zip(a, b, strict=True):
-                    p, q = known[x], known[y]
-                    if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) > 0:
-                        common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                        if 100 * common >= percent * (len(p) + len(q) - common):
-                            linked.append((x, y))
+                    if similar(known[x], known[y], percent):
+                        linked.append((x, y))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in linked], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def similar(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if not 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) > 0:
+        return False
+    common = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept.
 
@@ -195,7 +203,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return np.where(no, np.inf, apart)
 
     keys = [(items.select("keys", "id"), items.count() * BANDS)]
-    classes, _ = linked_classes(keys, items.drop("keys"), near, lambda pairs: confirmed(pairs, docs, k, percent), "neardup", lambda ids: fine_sketches(docs, ids, k))
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("line"))
+        return thinned(rows, ids, "id").join(ids, "id").dropDuplicates(["id"])
+
+    def sets_of(texts: pa.ChunkedArray | pa.Array) -> list[np.ndarray]:
+        chunks = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]
+        return [s for chunk in chunks for _, sets in shingle_sets(chunk, k) for s in sets]
+
+    texts = (texts_of, lambda p, q: similar(p, q, percent))
+    classes, _ = linked_classes(keys, items.drop("keys"), near, lambda pairs: confirmed(pairs, docs, k, percent), "neardup", lambda ids: fine_sketches(docs, ids, k), texts, sets_of, GROUP)
     discard(items)
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")

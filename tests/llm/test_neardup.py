@@ -99,6 +99,38 @@ def test_links_across_rounds_without_rows_of_pairs(spark, monkeypatch):
     assert len(tried) < 2000
 
 
+def test_nearly_similar_documents_make_no_rows_of_pairs(spark, monkeypatch):
+    """Documents just below the threshold share buckets and stay unlinked; rows of pairs grow with their number only."""
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1200)]
+    rows = []
+    for i in range(240):
+        own = list(base)
+        for at in rng.sample(range(200), 20):
+            own[6 * at + 3] = f"n{i}x{at}"
+        rows.append((i, " ".join(own)))
+    tried = []
+    confirm = neardup.confirmed
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, *more: tried.append(pairs.count()) or confirm(pairs, *more))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert got(neardup.near_duplicates(df, 4)) == expected(rows, 4, 80)
+    assert sum(tried) < 40 * len(rows)
+
+
+def test_small_buckets_have_no_members():
+    """Of up to three ids of a key all pairs are given, so only larger buckets have members; of those all."""
+    ids = {5: [1, 2], 6: [1, 2, 3], 7: [1, 2, 3, 4], 8: [3, 1, 1], 9: [4]}
+    entries = np.array([(k, i) for k, some in ids.items() for i in some], np.int64)
+    for cut in (0, 4, 8):  # what tasks hold is combined, then what they deal out
+        made = [linking._ends(part) for part in (entries[:cut], entries[cut:]) if len(part)]
+        sides = [np.concatenate([m[kind] for m in made]) for kind in (linking.ENTRIES, linking.PAIRS, linking.MEMBERS, linking.MARKS)]
+        out = linking._met(*sides)
+        members = set(map(tuple, out[linking.MEMBERS].tolist()))
+        assert {(7, i) for i in ids[7]} <= members and not {k for k, _ in members} & {5, 8, 9}
+        pairs = set(map(tuple, out[linking.PAIRS].tolist()))
+        assert {(1, 2), (1, 3), (2, 3)} <= pairs and all(a < b for a, b in pairs)
+
+
 def test_filter_keeps_what_is_asked_for(spark):
     rows = spark.range(1000).selectExpr("id", "cast(id as string) text")
     got = {r.id for r in linking.thinned(rows, spark.range(990, 1010), "id").collect()}
