@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import linked_classes, thinned
-from .shared import discard, mix64, written
+from .shared import discard, mix64, once, written
 
 #: Radius of a descriptor's patch, number of its tests, and the steps to which orientations are rounded.
 RADIUS, TESTS, TURNS = 11, 256, 32
@@ -195,12 +195,15 @@ def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
     low = groups.select(F.col("low").alias("image_id")).distinct()
     own = full.dropDuplicates(["image_id"]).join(low, "image_id", "left_semi")
 
+    def shapes_of(ids: DataFrame) -> DataFrame:
+        return thinned(full.select(F.col("image_id").alias("id"), "places", "bits"), ids, "id").join(ids, "id").dropDuplicates(["id"])
+
+    described, tables = once(shapes_of, "shapes"), []
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("image_id")).union(pairs.select("b")).distinct()
-        shapes = thinned(full.select("image_id", "places", "bits"), ids, "image_id").join(ids, "image_id").dropDuplicates(["image_id"])
-        shapes = written(shapes, "shapes")
+        shapes = described(tables[-1])
         for x in "ab":
-            pairs = pairs.join(shapes.select(F.col("image_id").alias(x), F.col("places").alias(f"w{x}"), F.col("bits").alias(f"b{x}")), x)
+            pairs = pairs.join(shapes.select(F.col("id").alias(x), F.col("places").alias(f"w{x}"), F.col("bits").alias(f"b{x}")), x)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -219,7 +222,7 @@ def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
 
     items = written(own.select(F.col("image_id").alias("id"), "n_corners", "keys"), "items")
     many = items.agg(F.sum(F.size("keys"))).first()[0] or 0
-    classes, _ = linked_classes([(items.select("keys", "id"), many)], items.drop("keys"), near, verify, "media")
+    classes, _ = linked_classes([(items.select("keys", "id"), many)], items.drop("keys"), near, verify, "media", among=tables.append)
     discard(items)
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")

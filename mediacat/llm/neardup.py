@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import bits_apart, linked_classes, thinned
-from .shared import discard, mix64, shingles, string_slices, word_hashes, written
+from .shared import discard, mix64, once, shingles, string_slices, word_hashes, written
 
 #: Bytes of text that a task takes apart at a time, which bounds the arrays made of them.
 SLICE_BYTES = 1 << 18
@@ -129,17 +129,14 @@ def fine_sketches(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return thinned(rows, ids, "doc_id", run, "id long, " + ", ".join(f"f{j} long" for j in range(words))).dropDuplicates(["id"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union.
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ``texts`` (id, line) whose full shingle sets have 100 * intersection >= percent * union.
 
     Texts are joined to the pairs (they shuffle smaller than sets of hashes), ordered by b; the sets of the last few
     hundred texts are kept in a task.
     """
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = written(thinned(rows, ids, "doc_id").join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    both = both.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "ta", "b", "tb")
+    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("line").alias("tb")), "b")
+    both = both.join(texts.select(F.col("id").alias("a"), F.col("line").alias("ta")), "a").select("a", "ta", "b", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -212,8 +209,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         chunks = texts.chunks if isinstance(texts, pa.ChunkedArray) else [texts]
         return [s for chunk in chunks for _, sets in shingle_sets(chunk, k) for s in sets]
 
-    texts = (texts_of, lambda p, q: similar(p, q, percent))
-    classes, _ = linked_classes(keys, items.drop("keys"), near, lambda pairs: confirmed(pairs, docs, k, percent), "neardup", lambda ids: fine_sketches(docs, ids, k), texts, sets_of, GROUP)
+    texts, whole, tables = (texts_of, lambda p, q: similar(p, q, percent)), once(texts_of, "texts"), []
+    classes, _ = linked_classes(keys, items.drop("keys"), near, lambda pairs: confirmed(pairs, whole(tables[-1]), k, percent), "neardup", lambda ids: fine_sketches(docs, ids, k), texts, sets_of, GROUP, tables.append)
     discard(items)
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")

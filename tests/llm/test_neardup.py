@@ -169,3 +169,42 @@ def test_bands_agree_as_often_as_the_similarity_says():
         same.append((bands[0] == bands[1]).mean())
     assert abs(np.mean(same) - 0.8**neardup.ROWS) < 0.05
     assert min(agree) >= neardup.least_bits(128, 80) and abs(np.mean(agree) - 115.2) < 2
+
+
+def test_members_of_buckets_meet_their_classes_by_id(spark, monkeypatch):
+    """Near copies share many buckets; members that are looked up are a row an id, not one for each of its keys."""
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join([*base, f"n{i}"])) for i in range(60)]
+    made = {}
+    write = linking.written
+
+    def record(df, name):
+        made[name] = write(df, name)
+        if name == "neardup-members":
+            made["ids"], made["rows"] = made[name].select("id").distinct().count(), made[name].count()
+        return made[name]
+
+    monkeypatch.setattr(linking, "written", record)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.component_id for r in neardup.near_duplicates(df, 4).collect()} == {0}
+    assert made["ids"] == made["rows"] == 60
+
+
+def test_components_of_one_and_of_many_lots(spark, monkeypatch):
+    """Chains, stars and rings, also if tasks see a few edges at a time; short lists make no rounds."""
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(501, 540)] + [(i, 600 + (i + 1) % 20) for i in range(600, 620)]
+    edges = [(b, a) if rng.random() < 0.5 else (a, b) for a, b in edges] * 2
+    rng.shuffle(edges)
+    expected = {i: 100 for i in range(100, 161)} | {i: 500 for i in range(500, 540)} | {i: 600 for i in range(600, 620)}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    names = []
+    write = shared.written
+    monkeypatch.setattr(shared, "written", lambda df, name: names.append(name) or write(df, name))
+    for lot in (1 << 16, 16):
+        monkeypatch.setattr(shared, "CONTRACTED", lot)
+        names.clear()
+        found = [(r.id, r.component) for r in shared.components(df).collect()]
+        assert len(found) == len(expected) and dict(found) == expected
+        assert lot == 16 or len(names) == 2
+    assert shared.components(df.limit(0)).count() == 0
