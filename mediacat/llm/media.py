@@ -199,6 +199,10 @@ def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
         return thinned(full.select(F.col("image_id").alias("id"), "places", "bits"), ids, "id").join(ids, "id").dropDuplicates(["id"])
 
     described, tables = once(shapes_of, "shapes"), []
+    shape = lambda places, bits: (np.frombuffer(places, np.float32).reshape(-1, 4), np.frombuffer(bits, np.uint8).reshape(-1, TESTS // 8))
+
+    def linked(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> bool:
+        return consistent(*a, *b) >= least
 
     def verify(pairs: DataFrame) -> DataFrame:
         shapes = described(tables[-1])
@@ -207,11 +211,7 @@ def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = []
-                for wa, ba, wb, bb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                    wa, wb = (np.frombuffer(w, np.float32).reshape(-1, 4) for w in (wa, wb))
-                    ba, bb = (np.frombuffer(b, np.uint8).reshape(-1, TESTS // 8) for b in (ba, bb))
-                    keep.append(consistent(wa, ba, wb, bb) >= least)
+                keep = [linked(shape(wa, ba), shape(wb, bb)) for wa, ba, wb, bb in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
         return pairs.select("a", "b", "wa", "ba", "wb", "bb").mapInArrow(run, "a long, b long")
@@ -222,7 +222,10 @@ def copies(images: DataFrame, least: int = LEAST_MATCHES) -> DataFrame:
 
     items = written(own.select(F.col("image_id").alias("id"), "n_corners", "keys"), "items")
     many = items.agg(F.sum(F.size("keys"))).first()[0] or 0
-    classes, _ = linked_classes([(items.select("keys", "id"), many)], items.drop("keys"), near, verify, "media", among=tables.append)
+    # images of open buckets are compared inside tasks, where a group's pairs are no rows
+    of_cells = lambda ids: shapes_of(ids).select("id", F.struct("places", "bits").alias("line"))
+    shapes_in = lambda lines: [shape(x["places"], x["bits"]) for x in lines.to_pylist()]
+    classes, _ = linked_classes([(items.select("keys", "id"), many)], items.drop("keys"), near, verify, "media", texts=(of_cells, linked), prepared=shapes_in, among=tables.append)
     discard(items)
     placed = groups.join(classes.withColumnRenamed("id", "low"), "low", "left").select("d1", "d2", F.coalesce("component", "low").alias("component_id"))
     out = base.join(placed, ["d1", "d2"], "left")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from mediacat.llm import media, registry
+from mediacat.llm import linking, media, registry
 
 from .brute import classes
 
@@ -48,6 +48,29 @@ def test_equals_trying_all_pairs(spark):
     assert all(want[i + 1000] == want[i] for i in range(30))
 
 
+def test_unlinked_images_of_a_bucket_make_no_rows_of_pairs(spark, monkeypatch):
+    """Images that share a part, too little of it for a link, are compared inside tasks."""
+    part = picture(900)[:40, :40]
+    rows = []
+    for i in range(40):
+        p = picture(i)
+        p[20:60, 20:60] = part
+        rows.append(row(i, p))
+    images = spark.createDataFrame(rows, SCHEMA)
+    shapes = {r.image_id: (np.frombuffer(r.places, np.float32).reshape(-1, 4), np.frombuffer(r.bits, np.uint8).reshape(-1, 32), set(r["keys"])) for r in media.features(images).collect()}
+    links = [(a, b) for a in shapes for b in shapes if a < b and shapes[a][2] & shapes[b][2] and media.consistent(*shapes[a][:2], *shapes[b][:2]) >= 25]
+    made, write = {}, linking.written
+
+    def record(df, name):
+        made[name] = write(df, name)
+        return made[name]
+
+    monkeypatch.setattr(linking, "written", record)
+    assert {r.image_id: r.component_id for r in media.copies(images, least=25).collect()} == classes(sorted(shapes), links)
+    assert made["media-open-2"].count() > 40
+    assert not {"media-pairs-2", "media-pairs-3"} & made.keys()
+
+
 #: Least share of the copies that the operator links, by edit; all pairs are tried by the geometric check alone.
 RECALL = {"noise": 1.0, "crop": 1.0, "turn": 1.0, "0.9": 0.9, "0.8": 0.5, "0.7": 0.9}
 

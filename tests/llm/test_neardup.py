@@ -131,6 +131,20 @@ def test_small_buckets_have_no_members():
         assert {(1, 2), (1, 3), (2, 3)} <= pairs and all(a < b for a, b in pairs)
 
 
+def test_one_pair_a_member_of_a_bucket():
+    """Whatever tasks hold of a bucket, it makes one pair for each of its members, not two."""
+    rng = np.random.default_rng(5)
+    ids = rng.choice(1 << 40, 1000, replace=False)
+    entries = np.stack([np.full(1000, 7), ids], 1)
+    for tasks in (1, 4, 50):
+        made = [linking._ends(part) for part in np.array_split(entries, tasks)]
+        sides = [np.concatenate([m[kind] for m in made]) for kind in (linking.ENTRIES, linking.PAIRS, linking.MEMBERS, linking.MARKS)]
+        out = linking._met(*sides)
+        assert set(map(tuple, out[linking.MEMBERS].tolist())) == set(map(tuple, entries.tolist()))
+        pairs = out[linking.PAIRS]
+        assert len(pairs) < 1000 and (pairs[:, 0] < pairs[:, 1]).all() and set(pairs[:, 1].tolist()) == set(ids.tolist()) - {ids.min()}
+
+
 def test_filter_keeps_what_is_asked_for(spark):
     rows = spark.range(1000).selectExpr("id", "cast(id as string) text")
     got = {r.id for r in linking.thinned(rows, spark.range(990, 1010), "id").collect()}
